@@ -22,15 +22,11 @@ def brute(docs, items, least=13):
             for shift in range(-len(words) + 1, len(doc)):
                 same = [0 <= k + shift < len(doc) and w == doc[k + shift] for k, w in enumerate(words)]
                 inside = [0 <= k + shift < len(doc) for k in range(len(words))]
-                for a in range(len(words)):
-                    score, best = 0, (0, a)
-                    for b in range(a, len(words)):
-                        if not inside[b]:
-                            break
-                        score += 1 if same[b] else -4
-                        best = max(best, (score, b + 1))
-                    if best[1] - a >= decontaminate.required(len(words), least) and best[0] > 0:
-                        out[d, i] = max(out.get((d, i), 0), sum(same[a : best[1]]))
+                runs = [(sum(1 if x else -4 for x in same[a:b]), a, b) for a in range(len(words)) for b in range(a, len(words) + 1) if all(inside[a:b])]
+                top = max(r[0] for r in runs)
+                a, b = next((a, b) for s, a, b in sorted(runs, key=lambda r: (r[2], r[1])) if s == top)
+                if top > 0 and b - a >= decontaminate.required(len(words), least):
+                    out[d, i] = max(out.get((d, i), 0), sum(same[a:b]))
     return out
 
 
