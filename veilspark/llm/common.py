@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,39 +37,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hash_bucket(n_buckets: int, *cols: Column) -> Column:
-    """0 .. n_buckets - 1 by the columns' hash; nulls count as values."""
-    return F.pmod(F.xxhash64(F.lit(17), *cols), F.lit(n_buckets)).cast("int")
-
-
-def numbered(df: DataFrame, order: list[str], n_buckets: int, into: str, of: str | None = None) -> tuple[DataFrame, dict]:
+def numbered(df: DataFrame, order: list[str], into: str, of: str | None = None, per_bucket: int = 50_000, most: int = 1 << 14) -> tuple[DataFrame, dict]:
     """Gapless row numbers from 0, per value of the integer column ``of`` (None: over all rows).
 
-    No task sees more than a bucket's rows: rows are dealt to ``n_buckets`` buckets by the hash of
-    ``order``, ranked in their bucket, and shifted by the count of all earlier buckets. The
-    bucket counts (n_buckets for each value of ``of``, whose values are few by contract) are the
-    only thing that reaches the driver. The number depends on the rows' values alone, not on how
-    files or partitions hold them; rows equal in all of ``order`` are interchangeable.
+    No task sees more than a bucket's rows: the rows of a value are dealt to buckets of about
+    ``per_bucket`` rows (``most`` buckets at most) by the hash of ``order``, ranked in their
+    bucket, and shifted by the count of all earlier buckets. Those counts, at most ``most`` for
+    each value of ``of``, whose values are few by contract, are all that reaches the driver. The
+    number depends on the rows' values alone, not on how files or partitions hold them; rows equal
+    in all of ``order`` are interchangeable.
 
-    ``df`` is read twice: pass a table or a checkpoint. Returns the numbered rows and the row
-    count of each value of ``of`` (under None, if that is None).
+    ``df`` is read three times: pass a table or a checkpoint. Returns the numbered rows and the
+    row count of each value of ``of`` (under None, if that is None).
     """
-    keys = ["_b"] if of is None else [of, "_b"]
-    dealt = df.withColumn("_b", hash_bucket(n_buckets, *[F.col(c) for c in order]))
-    counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).collect()
-    totals: dict = {}
-    shifts: dict = {}
-    for r in sorted(counts, key=lambda r: tuple(r[k] for k in keys)):
-        group = None if of is None else r[of]
-        shifts[(group, r["_b"])] = totals.get(group, 0)
-        totals[group] = totals.get(group, 0) + r["_n"]
-    rows = [(*(() if of is None else (g,)), b, s) for (g, b), s in shifts.items()]
-    kinds = ", ".join([*([] if of is None else [f"{of} {dict(df.dtypes)[of]}"]), "_b int", "_shift long"])
-    table = df.sparkSession.createDataFrame(rows, kinds)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    # The table of shifts has n_buckets rows for each group at most, whatever the input's size.
-    out = dealt.withColumn("_r", rank).join(F.broadcast(table), keys).withColumn(into, F.col("_r") + F.col("_shift"))
-    return out.drop("_b", "_r", "_shift"), totals
+    spark, key = df.sparkSession, of or "_of"
+    rows = df if of else df.withColumn("_of", F.lit(0))
+    kind = dict(rows.dtypes)[key]
+    totals = {r[key]: r["count"] for r in rows.groupBy(key).count().collect()}
+    buckets = spark.createDataFrame([(k, min(most, -(-n // per_bucket))) for k, n in totals.items()], f"{key} {kind}, _nb int")
+    dealt = rows.join(F.broadcast(buckets), key).withColumn("_b", F.pmod(F.xxhash64(F.lit(17), *order), F.col("_nb")).cast("int")).drop("_nb")
+    shifts, at = [], dict.fromkeys(totals, 0)
+    for r in sorted(dealt.groupBy(key, "_b").count().collect(), key=lambda r: (r[key], r["_b"])):
+        shifts.append((r[key], r["_b"], at[r[key]]))
+        at[r[key]] += r["count"]
+    table = spark.createDataFrame(shifts, f"{key} {kind}, _b int, _shift long")
+    rank = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) - 1
+    out = dealt.withColumn("_r", rank).join(F.broadcast(table), [key, "_b"]).withColumn(into, F.col("_r") + F.col("_shift"))
+    return out.drop("_b", "_r", "_shift", "_of"), totals if of else {None: totals.get(0, 0)}
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -100,8 +93,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
-def arrow_column(batch, name: str) -> np.ndarray:
-    """A column without nulls as numpy."""
-    return batch.column(name).to_numpy(zero_copy_only=False)

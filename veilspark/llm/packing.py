@@ -239,19 +239,19 @@ def solve(counts: np.ndarray, capacity: int, nodes: int = 4000, limit: int = 24)
     return incumbent, bound
 
 
-def pack(rows: DataFrame, order: list[str], capacity: int = 1024, buckets: int = 128, nodes: int = 4000) -> DataFrame:
+def pack(rows: DataFrame, order: list[str], capacity: int = 1024, nodes: int = 4000) -> DataFrame:
     """``rows`` (an integer column length, 1 to ``capacity``) with sequence_id and offset.
 
     Which of the rows of equal length goes where follows the hash of the columns ``order``, not
     the layout of files. The driver holds the histogram of lengths and the patterns, both bounded
-    by the capacity. ``rows`` is read three times: pass a table or a checkpoint. An empty table
+    by the capacity. A null length is no piece. ``rows`` is read three times: pass a table or a checkpoint. An empty table
     gives an empty result; clashing columns sequence_id and offset are replaced.
     """
     rows = rows.drop("sequence_id", "offset")
-    ranked, totals = numbered(rows, order, buckets, "_rank", of="length")
+    ranked, totals = numbered(rows.where("length is not null"), order, "_rank", of="length")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for n, k in totals.items():
-        if n is None or not 1 <= n <= capacity:
+        if not 1 <= n <= capacity:
             raise ValueError("lengths must lie between 1 and the capacity")
         counts[n] = k
     patterns, _ = solve(counts, capacity, nodes)

@@ -70,17 +70,17 @@ def row_at(shard: np.ndarray, slot: np.ndarray, n: int, shards: int, seed: int)
     return permute(p, n, seed, back=True).astype(np.int64)
 
 
-def shard(rows: DataFrame, order: list[str], shards: int = 24, seed: int = 7, buckets: int = 1 << 14) -> DataFrame:
+def shard(rows: DataFrame, order: list[str], shards: int = 24, seed: int = 7) -> DataFrame:
     """``rows`` with the columns row (global number), shard and slot.
 
     The row number follows the hash of the columns ``order``: the same rows get the same places in
     whatever files they come. Rows equal in all of ``order`` share a bucket and are
     interchangeable. Nulls count as values; an empty table gives an empty result. ``rows`` is read
-    twice: pass a table or a checkpoint. Clashing columns row, shard and slot are replaced.
+    three times: pass a table or a checkpoint. Clashing columns row, shard and slot are replaced.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    out, totals = numbered(rows.drop("row", "shard", "slot"), order, buckets, "row")
+    out, totals = numbered(rows.drop("row", "shard", "slot"), order, "row")
     n = totals.get(None, 0)
 
     @F.pandas_udf("shard int, slot long")
