@@ -13,11 +13,15 @@ the benchmark has over ``slice_seeds`` seeds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .words import gram_hashes, hashes, plain_words
 
 #: Fixed masks: 1 takes part, 0 is ignored.
@@ -102,6 +106,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, slice_s
     table is empty, so is the result.
     """
     kind = dict(docs.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, item_id long, doc_start long, item_start long, words long, matches long"
+    parts = [_scan(docs, held, least, schema) for held in _slices(benchmark, slice_seeds)]
+    return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = 13, slice_seeds: int = 400_000) -> DataFrame:
+    """The rows of ``docs`` without an overlap that :func:`contaminated` would report; nothing is
+    shuffled."""
+    for held in _slices(benchmark, slice_seeds):
+        docs = _filter(docs, held, least)
+    return docs
+
+
+def _slices(benchmark: DataFrame, slice_seeds: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Items (id, words) in slices of about ``slice_seeds`` seeds; equal items are one."""
 
     def tokens(batches):
         for b in batches:
@@ -109,22 +128,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, slice_s
             yield pa.record_batch([b.column("item_id"), pa.array(words, pa.binary())], ["item_id", "words"])
 
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text").mapInArrow(tokens, "item_id long, words binary")
-    items = items.where(F.octet_length("words") >= 4 * SHORTEST).groupBy("words").agg(F.min("item_id").alias("item_id"))
-    seeds = items.agg(F.sum(F.octet_length("words")).cast("long")).first()[0] or 0
-    slices = max(1, -(-seeds // 4 * len(MASKS) // slice_seeds))
-    schema = f"doc_id {kind}, item_id long, doc_start long, item_start long, words long, matches long"
-    out = docs.sparkSession.createDataFrame([], schema)
+    items = cut(items.where(F.octet_length("words") >= 4 * SHORTEST).groupBy("words").agg(F.min("item_id").alias("item_id")))
+    words = (items.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // 4
+    slices = max(1, -(-words * len(MASKS) // slice_seeds))
     for s in range(slices):
         part = items.where(F.pmod(F.xxhash64("words"), F.lit(slices)) == s) if slices > 1 else items
         held = [(r.item_id, np.frombuffer(r.words, dtype="<u4").astype(np.uint64)) for r in part.collect()]
         if held:
-            out = _scan(docs, held, least, schema) if s == 0 else out.union(_scan(docs, held, least, schema))
-    return out
+            yield sorted(held, key=lambda x: x[0])
+
+
+def _filter(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: int) -> DataFrame:
+    shipped = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches):
+        table = _Slice(shipped.value)
+        for b in batches:
+            found = [bool(table.find(hashes(plain_words(t.as_py() or b"")), least)) for t in b.column("text").cast(pa.binary())]
+            yield b.filter(pa.array([not x for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _scan(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: int, schema: str) -> DataFrame:
     # at most slice_seeds seeds, or a single longer item
-    shipped = docs.sparkSession.sparkContext.broadcast(sorted(items, key=lambda x: x[0]))
+    shipped = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
         table = _Slice(shipped.value)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -144,7 +145,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str
 
     def run(batches):
         for b in batches:
-            texts = b.column("_text")
+            texts = b.column("text")
             pred, score, foreign = [UNKNOWN] * len(b), np.zeros(len(b)), np.ones(len(b))
             held, size = [], 0
 
@@ -165,9 +166,20 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str
                 flush()
             yield pa.record_batch([*(b.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score), pa.array(foreign)], [*keep, "lang_pred", "score", "foreign"])
 
-    kinds = dict(docs.dtypes)
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "lang_pred string, score double, foreign double"
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(run, schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
+    kept = [x for x in rows.schema if x.name in keep]
+    return rows.mapInArrow(run, T.StructType(kept).add("lang_pred", "string").add("score", "double").add("foreign", "double"))
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text is, for its larger part, in a learned language: texts that are
+    null or without letters go, and those with a foreign proportion over a half."""
+    langs, table = model(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    marks = {"lang_pred": "_pred", "score": "_score", "foreign": "_foreign"}
+    rows = docs.withColumnsRenamed({c: f"_own_{c}" for c in marks if c in docs.columns})  # names that clash
+    out = predict(rows, langs, table, rows.columns).withColumnsRenamed(marks)
+    kept = out.where((F.col("_pred") != UNKNOWN) & (F.col("_foreign") <= 0.5)).drop(*marks.values())
+    return kept.withColumnsRenamed({f"_own_{c}": c for c in marks})
 
 
 def held_out(doc_id: Column) -> Column:

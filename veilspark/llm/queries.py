@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, packing, passages, shard, simhash, warc
+from . import ann, chat, decontaminate, langid, packing, passages, quality, shard, simhash, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host of a document is its source, the path on it its language."""
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -55,7 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ann, op3_simhash, op4_warc, op5_passages, op6_decontamination, op7_language, op8_packing, op9_chat, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality, op2_ann, op3_simhash, op4_warc, op5_passages, op6_decontamination, op7_language, op8_packing, op9_chat, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

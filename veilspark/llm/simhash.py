@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, cut
 
@@ -198,9 +199,39 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks
     non-null doc_id (null if there is none). An empty table gives an empty result.
     """
     base = cut(fingerprints(docs, shingle))
+    classes = _classes(base, distance, blocks)
+    return base.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(base: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """(fp, component_id, root) of each distinct fingerprint."""
     nodes = cut(base.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes, distance, blocks))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(smallest, "root").select("fp", "component_id")
-    return base.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return named.join(smallest, "root").select("fp", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 3) -> DataFrame:
+    """One row of each component of :func:`near_duplicates`, whole: the one with its smallest
+    doc_id, of several such rows any; any row, if none has an id."""
+    base = cut(fingerprints(docs, shingle))
+    classes = cut(_classes(base, distance, blocks))
+    first = classes.where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
+    kept = docs.join(first, docs["doc_id"] == first["_keep"], "left_semi")
+    again = base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    if not base.where("doc_id is null").isEmpty():
+        column = "_fp"
+
+        def run(batches):
+            for b in batches:
+                fps = [fingerprint(t.as_py() or b"", shingle) for t in b.column("text").cast(pa.binary())]
+                yield b.append_column(column, pa.array(np.array(fps, np.uint64).view(np.int64)))
+
+        loose = docs.where("doc_id is null")
+        loose = loose.mapInArrow(run, T.StructType([*loose.schema]).add(column, "long"))
+        alone = classes.where("component_id is null").select(F.col("fp").alias(column), F.col("root").alias("_root"))
+        kept = kept.union(loose.join(alone, column).dropDuplicates(["_root"]).select(*docs.columns))
+    return kept
