@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -41,9 +41,9 @@ def needles(spans: Column) -> tuple[Column, Column]:
     return full, F.array_distinct(fit)
 
 
-def propagate(text: Column, spans: Column) -> Column:
+def propagate(text: Column, spans: Column, full: Column, parts: Column) -> Column:
     """``spans`` and a NAME span for each place in ``text`` (plain) where a known name or a part of one stands
-    as whole words."""
+    as whole words; the :func:`needles` are columns of their own."""
 
     def mentions(found: Column, confidence: float) -> Column:
         return F.flatten(
@@ -56,35 +56,38 @@ def propagate(text: Column, spans: Column) -> Column:
             )
         ).cast(SPANS)
 
-    full, parts = needles(spans)
-    return F.when(F.size(names_of(spans)) == 0, spans).otherwise(F.concat(spans, mentions(full, 0.9), mentions(parts, 0.85)))
+    return F.when(F.size(full) + F.size(parts) == 0, spans).otherwise(F.concat(spans, mentions(full, 0.9), mentions(parts, 0.85)))
 
 
-def cluster(spans: Column) -> Column:
-    """``spans`` with cluster_id and canonical (null for what is no name).
+def with_clusters(df: DataFrame, spans: str, into: str) -> DataFrame:
+    """``df`` with the array of spans ``spans`` as ``into``, with cluster_id and canonical (null for what is no name).
 
     A mention of one word joins the only full name that holds the word; a word that several full
     names hold, or none, is a cluster of its own. Clusters are numbered as they come; the canonical
     form is the mention with most words, then most characters, then the first.
     """
-    names = names_of(spans)
-    tokened = F.transform(names, lambda s: tokens(s["text"]))
-    whole = F.array_distinct(F.transform(F.filter(tokened, lambda t: F.size(t) >= 2), lambda t: F.array_sort(F.array_distinct(t))))
+    names = F.transform(names_of(F.col(spans)), lambda s: F.struct(s["start"].alias("start"), surface(s["text"]).alias("surface"), tokens(s["text"]).alias("t")))
+    full = F.filter("_names", lambda n: F.size(n["t"]) >= 2)
+    whole = F.array_distinct(F.transform(full, lambda n: F.array_sort(F.array_distinct(n["t"]))))
 
     def key(t: Column) -> Column:
         first = F.coalesce(F.get(t, F.lit(0)), F.lit(""))
-        holding = F.filter(whole, lambda f: F.array_contains(f, first))
-        alone = F.when(F.size(holding) == 1, F.concat(F.lit("full:"), F.array_join(F.get(holding, F.lit(0)), " "))).otherwise(F.concat(F.lit("part:"), first))
-        return F.when(F.size(t) >= 2, F.concat(F.lit("full:"), F.array_join(F.array_sort(F.array_distinct(t)), " "))).otherwise(alone)
+        alone = F.filter("_whole", lambda f: F.array_contains(f, first))
+        name = F.array_join(F.when(F.size(t) >= 2, F.array_sort(F.array_distinct(t))).otherwise(F.when(F.size(alone) == 1, F.get(alone, F.lit(0)))), " ")
+        return F.coalesce(F.concat(F.lit("full:"), name), F.concat(F.lit("part:"), first))
 
-    keyed = F.transform(names, lambda s, i: F.struct(key(tokens(s["text"])).alias("key"), F.size(words(surface(s["text"]))).alias("n"), F.length(surface(s["text"])).alias("len"), (-i).alias("i"), surface(s["text"]).alias("surface")))
-    keys = F.array_distinct(F.transform(keyed, lambda k: k["key"]))
+    keyed = F.transform("_names", lambda n, i: F.struct(n["start"].alias("start"), key(n["t"]).alias("key"), F.size(words(n["surface"])).alias("n"), F.length(n["surface"]).alias("len"), (-i).alias("i"), n["surface"].alias("surface")))
+    ranked = lambda k: F.array_max(F.transform(F.filter("_keyed", lambda x: x["key"] == k), lambda x: F.struct(x["n"].alias("n"), x["len"].alias("len"), x["i"].alias("i"), x["surface"].alias("surface"))))
+    clusters = F.transform(F.array_distinct(F.transform("_keyed", lambda k: k["key"])), lambda k: F.struct(k.alias("key"), ranked(k)["surface"].alias("surface")))
 
     def named(s: Column) -> Column:
-        own = key(tokens(s["text"]))
-        best = F.array_max(F.transform(F.filter(keyed, lambda k: k["key"] == own), lambda k: F.struct(k["n"].alias("n"), k["len"].alias("len"), k["i"].alias("i"), k["surface"].alias("surface"))))
+        own = F.get(F.filter("_keyed", lambda k: k["start"] == s["start"]), F.lit(0))["key"]
         name = s["entity_type"] == "NAME"
-        number = (F.array_position(keys, own) - 1).cast("string")
-        return F.struct(*[s[c].alias(c) for c in ("start", "end", "entity_type", "text", "confidence", "source", "ord")], F.when(name, F.concat(F.lit("name_"), number)).alias("cluster_id"), F.when(name, best["surface"]).alias("canonical"))
-
-    return F.transform(spans, named).cast(f"array<{ENTITY}>")
+        number = (F.array_position(F.transform("_clusters", lambda c: c["key"]), own) - 1).cast("string")
+        best = F.get(F.filter("_clusters", lambda c: c["key"] == own), F.lit(0))["surface"]
+        return F.struct(*[s[c].alias(c) for c in ("start", "end", "entity_type", "text", "confidence", "source", "ord")], F.when(name, F.concat(F.lit("name_"), number)).alias("cluster_id"), F.when(name, best).alias("canonical"))
+
+    # each step is a column: an array inside another's lambda would be made anew for every element
+    for name, column in {"_names": names, "_whole": whole, "_keyed": keyed, "_clusters": clusters}.items():
+        df = df.withColumn(name, column)
+    return df.withColumn(into, F.transform(spans, named).cast(f"array<{ENTITY}>")).drop("_names", "_whole", "_keyed", "_clusters")

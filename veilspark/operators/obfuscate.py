@@ -11,7 +11,7 @@ from ..functions import crypto
 from ..functions.text import splice
 from ..schema import Policy
 from .detect import Detector, native, with_text, without_text
-from .names import cluster, propagate
+from .names import needles, propagate, with_clusters
 from .resolve import resolve, without_labels
 from .strategies import REVERSIBLE, STRATEGIES, Strategy, action
 
@@ -24,16 +24,11 @@ PLAN = (
 def with_entities(df: DataFrame, detector: Detector | None = None) -> DataFrame:
     """``df`` (text) with ``entities``: disjoint spans with clusters, sorted by start."""
     df, text = with_text(df)
-    steps = {
-        "_spans": (detector or native())(text),
-        "_kept": without_labels(resolve(F.col("_spans"))),
-        "_more": propagate(text.plain, F.col("_kept")),
-        "_disjoint": resolve(F.col("_more")),
-        "entities": cluster(F.col("_disjoint")),
-    }
-    for name, column in steps.items():  # one column after another: none is computed twice
-        df = df.withColumn(name, column)
-    return without_text(df).drop("_spans", "_kept", "_more", "_disjoint")
+    df = df.withColumn("_spans", (detector or native())(text)).withColumn("_kept", without_labels(resolve(F.col("_spans"))))
+    full, parts = needles(F.col("_kept"))
+    df = df.withColumn("_full", full).withColumn("_parts", parts)
+    df = df.withColumn("_disjoint", resolve(propagate(text.plain, F.col("_kept"), F.col("_full"), F.col("_parts"))))
+    return without_text(with_clusters(df, "_disjoint", "entities")).drop("_spans", "_kept", "_full", "_parts", "_disjoint")
 
 
 def patient_age(entities: Column) -> Column:
@@ -42,32 +37,39 @@ def patient_age(entities: Column) -> Column:
     return F.get(ages, F.lit(0)).cast("int")
 
 
-def _planned(policy: Policy, strategies: dict[str, Strategy]) -> Column:
-    age = F.col("patient_age")
-
-    def one(e: Column) -> Column:
-        todo = action(e["entity_type"], e["confidence"], policy)
+def _with_plan(df: DataFrame, policy: Policy, strategies: dict[str, Strategy]) -> DataFrame:
+    def route(e: Column) -> Column:
         canonical = F.coalesce(e["canonical"], e["text"])
-        digest = crypto.digest(canonical)
-        out, known = F.lit(vocab.REDACTED), todo.isin(list(strategies))
+        return F.struct(e.alias("e"), action(e["entity_type"], e["confidence"], policy).alias("todo"), canonical.alias("canonical"))
+
+    def digested(x: Column) -> Column:
+        return F.struct(x["e"].alias("e"), x["todo"].alias("todo"), x["canonical"].alias("canonical"), crypto.digest(x["canonical"]).alias("digest"))
+
+    def replaced(x: Column) -> Column:
+        out = F.lit(vocab.REDACTED)
         for name, strategy in strategies.items():
-            out = F.when(todo == name, strategy(e["entity_type"], canonical, digest, age, policy)).otherwise(out)
+            out = F.when(x["todo"] == name, strategy(x["e"]["entity_type"], x["canonical"], x["digest"], F.col("patient_age"), policy)).otherwise(out)
+        return F.struct(x.alias("x"), out.alias("out"))
+
+    def planned(p: Column) -> Column:
+        x, todo = p["x"], p["x"]["todo"]
         return F.struct(
-            e["start"].alias("start"),
-            e["end"].alias("end"),
-            out.alias("replacement"),
-            e["entity_type"].alias("entity_type"),
+            x["e"]["start"].alias("start"),
+            x["e"]["end"].alias("end"),
+            p["out"].alias("replacement"),
+            x["e"]["entity_type"].alias("entity_type"),
             todo.alias("action"),
-            e["text"].alias("original"),
-            canonical.alias("canonical"),
-            F.when(todo.isin(list(REVERSIBLE)), out).alias("vault_key"),
-            F.when(todo == "TOKENIZE", out).alias("token"),
-            F.when(known, F.substring(digest, 1, 8)).alias("ref"),
-            e["source"].alias("source"),
+            x["e"]["text"].alias("original"),
+            x["canonical"].alias("canonical"),
+            F.when(todo.isin(list(REVERSIBLE)), p["out"]).alias("vault_key"),
+            F.when(todo == "TOKENIZE", p["out"]).alias("token"),
+            F.when(todo.isin(list(strategies)), F.substring(x["digest"], 1, 8)).alias("ref"),
+            x["e"]["source"].alias("source"),
         )
 
-    touched = F.filter(F.col("entities"), lambda e: action(e["entity_type"], e["confidence"], policy) != "PRESERVE")
-    return F.transform(touched, one).cast(PLAN)
+    df = df.withColumn("_routed", F.filter(F.transform("entities", route), lambda x: x["todo"] != "PRESERVE"))
+    df = df.withColumn("_digested", F.transform("_routed", digested)).withColumn("_replaced", F.transform("_digested", replaced))
+    return df.withColumn("plan", F.transform("_replaced", planned).cast(PLAN)).drop("_routed", "_digested", "_replaced")
 
 
 def obfuscate(df: DataFrame, keys: DataFrame, policy: Policy | None = None, detector: Detector | None = None, strategies: dict[str, Strategy] | None = None) -> DataFrame:
@@ -83,7 +85,7 @@ def obfuscate(df: DataFrame, keys: DataFrame, policy: Policy | None = None, dete
     out = out.withColumn("patient_age", patient_age(F.col("entities")))
     out = out.withColumn("route_to_human", F.coalesce(F.col("patient_age") <= policy.pediatric_age, F.lit(False)))
     out = crypto.with_document_pads(out.join(keys.select("session_id", "prk_inner", "prk_outer"), "session_id"))
-    out = out.withColumn("plan", _planned(policy, strategies or STRATEGIES)).drop("prk_inner", "prk_outer", "doc_inner", "doc_outer")
+    out = _with_plan(out, policy, strategies or STRATEGIES).drop("prk_inner", "prk_outer", "doc_inner", "doc_outer")
     hidden = F.array_distinct(F.flatten(F.transform(F.col("plan"), lambda p: F.array(p["original"], p["canonical"]))))
     return out.select(
         "*",

@@ -16,7 +16,7 @@ from . import vocab
 from .functions import crypto
 from .functions.text import matches, plain
 from .operators import detect, outbound, strategies
-from .operators.names import cluster
+from .operators.names import with_clusters
 from .operators.obfuscate import entity_counts, obfuscate, with_entities
 from .operators.resolve import resolve
 from .operators.restore import leak_scan, restore
@@ -198,7 +198,8 @@ def canonical_topk(spark, sf_dir):
     row = "named_struct('start', {s}, 'end', {s} + 1, 'entity_type', 'NAME', 'text', {t}, 'confidence', 1D, 'source', 'q', 'ord', {s})"
     texts = [f"'Dr. ' || {_LAST}", f"{_FIRST}", f"{_FIRST} || ' ' || {_LAST}", f"{_LAST} || ' ' || {_FIRST}"]
     spans = "array(" + ", ".join(row.format(s=i, t=t) for i, t in enumerate(texts)) + ")"
-    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"CAST({spans} AS {SPANS.replace('start:', 'start: ')}) AS s").withColumn("e", F.explode(cluster(F.col("s"))))
+    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"CAST({spans} AS {SPANS.replace('start:', 'start: ')}) AS s")
+    rows = with_clusters(rows, "s", "entities").withColumn("e", F.explode("entities"))
     return rows.groupBy("doc_id", F.col("e.canonical").alias("canonical")).agg(F.count(F.lit(1)).cast("int").alias("mentions"))
 
 
