@@ -9,12 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm import decontaminate, langid, packing, passages, simhash
-from veilspark.llm.common import scratch_path
+from veilspark.llm.common import scratch_path, small_batches
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; texts without letters and those mostly in no learned
     language go."""
+    small_batches(spark)
     return langid.keep_known(docs)
 
 

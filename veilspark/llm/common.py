@@ -30,6 +30,27 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """``df`` written as a table in the shared folder and read from there, and the table's path."""
+    path = scratch_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, by the file system that the path names."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once, whatever the length of texts: Arrow batches of at
+    most 1000 rows and 8 MB. To be called by whoever owns the session, before a query."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder: no later job computes it again, and
     a lost executor loses nothing. Spark removes the files once nothing refers to them."""

@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import remove_path, stored
 from .decontaminate import overlap
 from .words import gram_hashes, hashes
 
 SHINGLE = 5
 WINDOW = 12
-_GRID = 64  # windows are fetched in whole cells of so many words
+_GRID = 16  # windows are fetched in whole cells of so many words, at first
+_FEW = 200_000  # windows that may be broadcast
 _GAP, _DRIFT, _COST = 96, 48, 0.05
 
 
@@ -140,32 +141,32 @@ def _cells(low: int, high: int, grid: int = _GRID) -> tuple[int, int]:
 
 
 def _chained(matches: DataFrame) -> DataFrame:
+    """The chains of each document with each earlier one. A task holds one document's matches."""
     names = ["doc", "other", "p", "r", "lo", "hi", "other_lo", "other_hi"]
     types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int32()] * 4]
 
     def run(batches):
-        left = None
+        left = np.empty((4, 0), dtype=np.int64)
         for b in batches:
             now = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("doc", "other", "pos", "other_pos")])
-            if left is not None:
-                now = np.concatenate([left, now], axis=1)
-            if not now.shape[1]:
-                continue
-            edges = np.flatnonzero((np.diff(now[:2], axis=1) != 0).any(axis=0)) + 1
-            left = now[:, edges[-1] if len(edges) else 0 :]
-            if len(edges):
-                yield solve(now, np.r_[0, edges])
-        if left is not None and left.shape[1]:
-            yield solve(left, np.array([0, left.shape[1]]))
-
-    def solve(now, edges):
+            now = np.concatenate([left, now], axis=1)
+            last = int(np.searchsorted(now[0], now[0, -1])) if now.shape[1] else 0
+            left = now[:, last:]
+            if last:
+                yield solve(now[:, :last])
+        if left.shape[1]:
+            yield solve(left)
+
+    def solve(now):
         rows = []
+        edges = np.r_[0, np.flatnonzero(np.diff(now[0])) + 1, now.shape[1]]
         for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            p, r = now[2, a:e], now[3, a:e]
-            for chain in chains(p, r):
-                cp, cr = p[chain], r[chain]
-                rows.append((int(now[0, a]), int(now[1, a]), cp, cr, *_cells(int(cp[0]), int(cp[-1]) + SHINGLE), *_cells(int(cr[0]), int(cr[-1]) + SHINGLE)))
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            _, other, p, r = now[:, a:e]
+            for part in np.split(np.arange(e - a), np.flatnonzero(np.diff(other)) + 1):
+                for chain in chains(p[part], r[part]):
+                    cp, cr = p[part][chain], r[part][chain]
+                    rows.append((int(now[0, a]), int(other[part[0]]), cp, cr, *_cells(int(cp[0]), int(cp[-1]) + SHINGLE), *_cells(int(cr[0]), int(cr[-1]) + SHINGLE)))
+        return pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names)
 
     dealt = matches.repartition("doc").sortWithinPartitions("doc", "other", "pos", "other_pos")
     return dealt.mapInArrow(run, "doc long, other long, p array<int>, r array<int>, lo int, hi int, other_lo int, other_hi int")
@@ -213,9 +214,11 @@ def runs(same: np.ndarray, least: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _windows(docs: DataFrame, wanted: DataFrame, again: bool) -> DataFrame:
     """(id, lo, hi, words): the words' hashes in the wanted places, as far as the text goes."""
-    per = wanted.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("w"))  # some per 64 words, however often wanted
+    per = wanted.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("w"))  # a few per cell, however often wanted
+    if again and wanted.limit(_FEW + 1).count() <= _FEW:  # later rounds want few: the texts stay where they are
+        per = F.broadcast(per)
 
     def run(batches):
         for b in batches:
@@ -239,32 +242,29 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     have no passages; rows with a null doc_id take no part; rows with equal doc_id are not compared
     with each other. Other columns are ignored; an empty table gives an empty result.
     """
-    found = _stored(seeds(docs), "seeds")
+    spark = docs.sparkSession
+    found, seed_path = stored(seeds(docs), "seeds")
     first = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max("doc").alias("last")).where("f.doc < last")
     first = first.select("h", F.col("f.doc").alias("other"), F.col("f.pos").alias("other_pos"))
     matches = found.join(first, "h").where("doc > other").select("doc", "other", "pos", "other_pos")
-    made = _stored(_chained(matches), "chains")
+    made, path = stored(_chained(matches), "chains")
+    remove_path(spark, seed_path)
     done, grid = None, _GRID
     while True:
-        aligned = _stored(_aligned(docs, made, least), "aligned")
+        aligned, aligned_path = _aligned(docs, made, least, done is not None)
+        remove_path(spark, path)
         part = aligned.where("not open").select(*_PASSAGE)
         done = part if done is None else done.union(part)
         more = aligned.where("open")
         if more.isEmpty():
             return done.distinct()
         grid *= 16
-        made = _widened(more, grid)
+        made, path = stored(_widened(more, grid), "chains")
 
 
 _PASSAGE = ("doc_id", "start", "end", "other_id", "other_start", "other_end", "words", "matches")
 
 
-def _stored(df: DataFrame, kind: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _widened(more: DataFrame, grid: int) -> DataFrame:
     """The chains of runs that reached the edge of their windows, with windows in larger cells."""
 
@@ -278,11 +278,11 @@ def _widened(more: DataFrame, grid: int) -> DataFrame:
     return chain.select("*", lo.alias("lo"), hi.alias("hi"), other_lo.alias("other_lo"), other_hi.alias("other_hi"))
 
 
-def _aligned(docs: DataFrame, made: DataFrame, least: int) -> DataFrame:
-    """The passages along each chain, or one row with ``open`` and the chain if one of its runs
+def _aligned(docs: DataFrame, made: DataFrame, least: int, again: bool) -> tuple[DataFrame, str]:
+    """As a table and its path: the passages along each chain, or one row with ``open`` and the chain if one of its runs
     reaches the edge of a window and its text goes on."""
     wanted = made.select(F.col("doc").alias("id"), "lo", "hi").union(made.select("other", "other_lo", "other_hi")).distinct()
-    windows = _stored(_windows(docs, wanted), "windows")
+    windows, path = stored(_windows(docs, wanted, again), "windows")
     ours = windows.select(F.col("id").alias("doc"), "lo", "hi", F.col("words").alias("a"))
     theirs = windows.select(F.col("id").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), F.col("words").alias("b"))
     pairs = made.join(ours, ["doc", "lo", "hi"]).join(theirs, ["other", "other_lo", "other_hi"])
@@ -297,7 +297,9 @@ def _aligned(docs: DataFrame, made: DataFrame, least: int) -> DataFrame:
                 to, same = align(a, b, np.array(p) - lo, np.array(r) - other_lo)
                 goes_on = (lo > 0, len(a) == hi - lo, other_lo > 0, len(b) == other_hi - other_lo)
                 found = runs(same, min(least, WINDOW))
-                at_edge = any((s == 0 and goes_on[0]) or (e == len(a) and goes_on[1]) or (to[s] == 0 and goes_on[2]) or (to[e - 1] == len(b) - 1 and goes_on[3]) for s, e in found)
+                # a run that ends within a shingle of an edge may go on behind it
+                near = [(s < SHINGLE, e > len(a) - SHINGLE, to[s] < SHINGLE, to[e - 1] >= len(b) - SHINGLE) for s, e in found]
+                at_edge = any(x and y for n in near for x, y in zip(n, goes_on, strict=True))
                 if at_edge:
                     rows.append((doc, None, None, other, None, None, None, None, True, p, r))
                     continue
@@ -307,7 +309,9 @@ def _aligned(docs: DataFrame, made: DataFrame, least: int) -> DataFrame:
             yield pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], [*_PASSAGE, "open", "p", "r"])
 
     schema = ", ".join(f"{c} long" for c in _PASSAGE) + ", open boolean, p array<int>, r array<int>"
-    return pairs.select(*taken).mapInArrow(run, schema)
+    out = stored(pairs.select(*taken).mapInArrow(run, schema), "aligned")
+    remove_path(docs.sparkSession, path)
+    return out
 
 
 def cut_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
