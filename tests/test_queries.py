@@ -17,5 +17,6 @@ def test_query(spark, db, name):
     if name in queries.ORACLES:
         want_names, want = rows_of_duck(db, queries.ORACLES[name])
         assert names == want_names
-        assert rows == want
+        wrong = [(a, b) for a, b in zip(rows, want) if a != b]
+        assert len(rows) == len(want) and not wrong[:2]
     assert rows

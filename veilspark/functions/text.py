@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _START, _VALUE, _END = "\u0001", "\u0002", "\u0003"
@@ -56,6 +56,13 @@ def replacement(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
 
 
+def exploded(df: DataFrame, array: str, name: str, *keep: str | Column) -> DataFrame:
+    """``keep`` and a row for each element of ``array``, as ``name``. An outer explode: for an inner
+    one the optimizer infers a filter on the array's size and pushes it, with all that the array
+    is made of, down through every step."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def words(text: Column) -> Column:
     """The parts of ``text`` between white space."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import crypto
-from ..functions.text import splice
+from ..functions.text import exploded, splice
 from ..schema import Policy
 from .detect import Detector, native, with_text, without_text
 from .names import needles, propagate, with_clusters
@@ -98,5 +98,5 @@ def obfuscate(df: DataFrame, keys: DataFrame, policy: Policy | None = None, dete
 
 def entity_counts(df: DataFrame, by: list[str]) -> DataFrame:
     """Entities of each type per group of documents."""
-    rows = df.select(*by, F.explode("entities").alias("e"))
+    rows = exploded(df, "entities", "e", *by)
     return rows.groupBy(*by, F.col("e.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))

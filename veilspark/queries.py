@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import vocab
 from .functions import crypto
-from .functions.text import matches, plain
+from .functions.text import exploded, matches, plain
 from .operators import detect, outbound, strategies
 from .operators.names import with_clusters
 from .operators.obfuscate import entity_counts, obfuscate, with_entities
@@ -107,7 +107,7 @@ def _labelled(spark: SparkSession, sf_dir: str, before: str, value: str, after:
 
 def _found(df: DataFrame, spans) -> DataFrame:
     df, text = detect.with_text(df)
-    rows = detect.without_text(df.withColumn("s", F.explode(spans(text))))
+    rows = exploded(df.withColumn("_s", spans(text)), "_s", "s", "doc_id")
     return rows.select("doc_id", F.col("s.start").alias("start_pos"), F.col("s.text").alias("value"))
 
 
@@ -188,7 +188,7 @@ SELECT doc_id, 9 + length(f || ' ' || l) + 12 + length(l) + 7, f, 'name_0', f ||
 def cluster_names(spark, sf_dir):
     """Mentions of one person, found by propagation and linked to the full name."""
     rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"{_NAMES} AS text")
-    found = with_entities(rows).select("doc_id", F.explode("entities").alias("e")).where("e.entity_type = 'NAME'")
+    found = exploded(with_entities(rows), "entities", "e", "doc_id").where("e.entity_type = 'NAME'")
     return found.select("doc_id", F.col("e.start").alias("start_pos"), F.col("e.text").alias("value"), F.col("e.cluster_id").alias("cluster_id"), F.col("e.canonical").alias("canonical"))
 
 
@@ -199,7 +199,7 @@ def canonical_topk(spark, sf_dir):
     texts = [f"'Dr. ' || {_LAST}", f"{_FIRST}", f"{_FIRST} || ' ' || {_LAST}", f"{_LAST} || ' ' || {_FIRST}"]
     spans = "array(" + ", ".join(row.format(s=i, t=t) for i, t in enumerate(texts)) + ")"
     rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"CAST({spans} AS {SPANS.replace('start:', 'start: ')}) AS s")
-    rows = with_clusters(rows, "s", "entities").withColumn("e", F.explode("entities"))
+    rows = exploded(with_clusters(rows, "s", "entities"), "entities", "e", "doc_id")
     return rows.groupBy("doc_id", F.col("e.canonical").alias("canonical")).agg(F.count(F.lit(1)).cast("int").alias("mentions"))
 
 
@@ -511,7 +511,7 @@ def rules_list(spark, sf_dir):
 def custom_rules(spark, sf_dir):
     """A custom rule's spans among those of the standard rules."""
     rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"'Ref PRJ-' || {num('o_orderkey % 10000', 4)} || ' filed.' AS text")
-    found = with_entities(rows, detect.native(_custom(spark))).select("doc_id", F.explode("entities").alias("e"))
+    found = exploded(with_entities(rows, detect.native(_custom(spark))), "entities", "e", "doc_id")
     return found.select("doc_id", F.col("e.start").alias("start_pos"), F.col("e.text").alias("value"), F.col("e.source").alias("source"))
 
 
