@@ -79,6 +79,28 @@ def test_cut_keeps_the_first_holder(spark):
     assert {r.doc_id for r in passages.repeated_passages(out).collect()} <= flagged
 
 
+def test_a_passage_twice_in_one_document(spark):
+    rnd = random.Random(2)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    rows, copies = [], {}
+    for i in range(20):
+        passage, fill = [word() for _ in range(60)], [[word() for _ in range(70)] for _ in range(5)]
+        changed = [*passage[:30], "other", *passage[31:]]
+        rows.append((2 * i, " ".join(fill[0] + passage + fill[1])))
+        rows.append((2 * i + 1, " ".join(fill[2] + passage + fill[3] + changed + fill[4] + passage)))
+        copies[2 * i + 1] = {(70, 130), (200, 260), (330, 390)}
+    rows += [(900, "same " * 100), (901, "same " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated_passages(docs)
+    got = [tuple(r) for r in found.collect()]
+    for d, want in copies.items():
+        assert {(s, e) for doc, s, e, *_ in got if doc == d} == want
+    periodic = [(s, e) for d, s, e, *_ in got if d == 901]
+    assert set().union(*(range(*x) for x in periodic)) == set(range(3000)) and len(periodic) < 300
+    left = {r.doc_id: r.text.split() for r in passages.cut_passages(docs, found).collect()}
+    assert 901 not in left and all(len(left[d]) == 210 for d in copies)
+
+
 def test_remove():
     assert passages.remove(" a é\tb  c d\n", [{"start": 1, "end": 3}]) == " a c d\n"
     assert passages.remove("a b a b", [{"start": 2, "end": 4}, {"start": 3, "end": 9}]) == "a b "

@@ -39,9 +39,9 @@ def words_of(text: bytes) -> list[bytes]:
 
 def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Places of the hashes that are the smallest of some ``window`` consecutive ones, or of all if
-    there are fewer; the first place of each hash."""
+    there are fewer; every such place, so each copy in one text has seeds."""
     if len(h) <= window:
-        return np.array([int(np.argmin(h))]) if len(h) else np.empty(0, dtype=np.int64)
+        return np.flatnonzero(h == h.min()) if len(h) else np.empty(0, dtype=np.int64)
     low, reach = h, 1
     while reach < window:
         step = min(reach, window - reach)
@@ -52,8 +52,7 @@ def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
         step = min(reach, window - reach)
         high = np.maximum(high[:-step], high[step:])
         reach += step
-    at = np.flatnonzero(high == h)
-    return np.sort(at[np.unique(h[at], return_index=True)[1]])
+    return np.flatnonzero(high == h)
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -75,6 +74,22 @@ def seeds(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "h long, doc long, pos int")
 
 
+def thin(p: np.ndarray, r: np.ndarray, apart: int = 50) -> np.ndarray:
+    """Indices of the matches (p, r), p ascending, without those that only go on a periodic stretch: a
+    match whose place r also matched one and two periods of up to ``apart`` words before stays only
+    if the last one that stays is ``apart`` words away. Places that recur without a period all stay."""
+    if len(np.unique(r)) == len(r):
+        return np.arange(len(p))
+    keep, seen = [], {}  # r: the last two places, the last that stays
+    for i, (at, to) in enumerate(zip(p.tolist(), r.tolist(), strict=True)):
+        one, two, kept = seen.get(to, (None, None, None))
+        if two is None or at - one != one - two or at - one > apart or at - kept >= apart:
+            keep.append(i)
+            kept = at
+        seen[to] = (at, one, kept)
+    return np.array(keep)
+
+
 class Fenwick:
     """Prefix maxima of (value, index) over places 0 .. n-1."""
 
@@ -163,6 +178,7 @@ def _chained(matches: DataFrame) -> DataFrame:
         for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             _, other, p, r = now[:, a:e]
             for part in np.split(np.arange(e - a), np.flatnonzero(np.diff(other)) + 1):
+                part = part[thin(p[part], r[part])]
                 for chain in chains(p[part], r[part]):
                     cp, cr = p[part][chain], r[part][chain]
                     rows.append((int(now[0, a]), int(other[part[0]]), cp, cr, *_cells(int(cp[0]), int(cp[-1]) + SHINGLE), *_cells(int(cr[0]), int(cr[-1]) + SHINGLE)))
