@@ -101,6 +101,38 @@ def test_a_passage_twice_in_one_document(spark):
     assert 901 not in left and all(len(left[d]) == 210 for d in copies)
 
 
+def test_a_passage_of_pieces_from_earlier_documents(spark):
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    rows, want = [], {}
+    for i in range(60):
+        pieces = [[word() for _ in range(k)] for k in ((26, 26), (30, 30), (45, 45), (20, 20, 20))[i % 4]]
+        whole = [w for piece in pieces for w in piece]
+        for j, piece in enumerate(pieces):
+            rows.append((10 * i + j, " ".join([word() for _ in range(70)] + piece + [word() for _ in range(70)])))
+        for j in (5, 6):
+            rows.append((10 * i + j, " ".join([word() for _ in range(80)] + whole + [word() for _ in range(80)])))
+        want[10 * i + 6] = (80, 80 + len(whole))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated_passages(docs)
+    covered = {}
+    for d, s, e, *_ in found.collect():
+        covered.setdefault(d, set()).update(range(s, e))
+    assert [d for d, span in want.items() if not covered.get(d, set()) >= set(range(*span))] == []
+    assert covered.keys() == want.keys()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_starts_miss_no_shared_window(seed):
+    rnd = np.random.default_rng(seed)
+    shared = rnd.integers(0, 1 << 60, 46).astype(np.uint64)
+    texts = [np.r_[rnd.integers(0, 1 << 60, n).astype(np.uint64), shared, rnd.integers(0, 1 << 60, 40).astype(np.uint64)] for n in (0, 33)]
+    at = [passages.winnow(h) for h in texts]
+    both = set(texts[0][at[0]].tolist()) & set(texts[1][at[1]].tolist())
+    for n, h, x in zip((0, 33), texts, at, strict=True):
+        assert n in passages.starts(np.array([i for i in x if int(h[i]) in both]), 50)
+
+
 def test_remove():
     assert passages.remove(" a é\tb  c d\n", [{"start": 1, "end": 3}]) == " a c d\n"
     assert passages.remove("a b a b", [{"start": 2, "end": 4}, {"start": 3, "end": 9}]) == "a b "

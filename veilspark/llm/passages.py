@@ -12,6 +12,12 @@ match, gaps costing in proportion to their length. Chains break at long gaps.
 Alignment. The words around each chain are fetched from both documents and compared along its
 diagonals; where the diagonal changes, the best changing point is taken. Runs with matches at +1
 and other words at -4 (four in five words match at least) of ``least`` words or more are passages.
+
+The rest. A seed's first holder need not hold the whole passage: its pieces may stand earlier in
+several documents. So the windows of ``least`` words that could stand in an earlier document and
+lie in no passage found so far are hashed whole, joined to their first holders, and aligned too.
+A window stands in an earlier document only if that one has its inner seeds, so the windows to
+look at, and the documents to look in, follow from the seeds that matched.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import remove_path, stored
 from .decontaminate import overlap
-from .words import gram_hashes, hashes
+from .words import gram_hashes, hashes, multipliers, scramble
 
 SHINGLE = 5
 WINDOW = 12
@@ -77,13 +83,13 @@ def seeds(docs: DataFrame) -> DataFrame:
 def thin(p: np.ndarray, r: np.ndarray, apart: int = 50) -> np.ndarray:
     """Indices of the matches (p, r), p ascending, without those that only go on a periodic stretch: a
     match whose place r also matched one and two periods of up to ``apart`` words before stays only
-    if the last one that stays is ``apart`` words away. Places that recur without a period all stay."""
+    if the next one would be over ``apart`` words from the last that stays. Places that recur without a period all stay."""
     if len(np.unique(r)) == len(r):
         return np.arange(len(p))
     keep, seen = [], {}  # r: the last two places, the last that stays
     for i, (at, to) in enumerate(zip(p.tolist(), r.tolist(), strict=True)):
         one, two, kept = seen.get(to, (None, None, None))
-        if two is None or at - one != one - two or at - one > apart or at - kept >= apart:
+        if two is None or at - one != one - two or at - one > apart or at - kept + at - one > apart:
             keep.append(i)
             kept = at
         seen[to] = (at, one, kept)
@@ -155,15 +161,46 @@ def _cells(low: int, high: int, grid: int = _GRID) -> tuple[int, int]:
     return max(0, low - grid) // grid * grid, -(-(high + grid) // grid) * grid
 
 
-def _chained(matches: DataFrame) -> DataFrame:
-    """The chains of each document with each earlier one. A task holds one document's matches."""
-    names = ["doc", "other", "p", "r", "lo", "hi", "other_lo", "other_hi"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int32()] * 4]
+def starts(places: np.ndarray, least: int) -> np.ndarray:
+    """Where a window of ``least`` words (38 or more) may begin whose inner seeds are all among the
+    places. Inner seeds are smallest in a run of hashes that the window holds whole, so every text
+    with the window has them; they begin and end within WINDOW of the inner part's ends and are at
+    most WINDOW apart."""
+    places = np.unique(places)
+    if not len(places):
+        return places
+    edges = np.flatnonzero(np.diff(places) > WINDOW) + 1
+    low = np.maximum(0, places[np.r_[0, edges]] - 2 * (WINDOW - 1))
+    high = places[np.r_[edges - 1, len(places) - 1]] - least + SHINGLE + 2 * (WINDOW - 1)
+    return np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
+
+
+def uncovered(at: np.ndarray, spans, least: int) -> np.ndarray:
+    """Which windows of ``least`` words from ``at`` do not lie in the union of the spans."""
+    begin, end = [], []
+    for a, b in sorted((x["start"], x["end"]) for x in spans or ()):
+        if end and a <= end[-1]:
+            end[-1] = max(end[-1], b)
+        else:
+            begin.append(a)
+            end.append(b)
+    if not begin:
+        return np.ones(len(at), dtype=bool)
+    i = np.searchsorted(begin, at, side="right") - 1
+    return (i < 0) | (at + least > np.array(end)[i])
+
+
+def _chained(matches: DataFrame, least: int, merge: bool = True) -> DataFrame:
+    """The chains of each document with each earlier one, and with a null ``other`` the places and
+    hashes of its matches where windows may stand. A task holds one document's matches; those of
+    periodic stretches are merged if so told."""
+    names = ["doc", "other", "p", "r", "lo", "hi", "other_lo", "other_hi", "h"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int32()] * 4, pa.list_(pa.int64())]
 
     def run(batches):
-        left = np.empty((4, 0), dtype=np.int64)
+        left = np.empty((5, 0), dtype=np.int64)
         for b in batches:
-            now = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("doc", "other", "pos", "other_pos")])
+            now = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("doc", "other", "pos", "other_pos", "h")])
             now = np.concatenate([left, now], axis=1)
             last = int(np.searchsorted(now[0], now[0, -1])) if now.shape[1] else 0
             left = now[:, last:]
@@ -176,16 +213,19 @@ def _chained(matches: DataFrame) -> DataFrame:
         rows = []
         edges = np.r_[0, np.flatnonzero(np.diff(now[0])) + 1, now.shape[1]]
         for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            _, other, p, r = now[:, a:e]
+            _, other, p, r, h = now[:, a:e]
+            if len(starts(p, least)):
+                rows.append((int(now[0, a]), None, p, *[None] * 5, h))
             for part in np.split(np.arange(e - a), np.flatnonzero(np.diff(other)) + 1):
-                part = part[thin(p[part], r[part])]
+                if merge:
+                    part = part[thin(p[part], r[part])]
                 for chain in chains(p[part], r[part]):
                     cp, cr = p[part][chain], r[part][chain]
-                    rows.append((int(now[0, a]), int(other[part[0]]), cp, cr, *_cells(int(cp[0]), int(cp[-1]) + SHINGLE), *_cells(int(cr[0]), int(cr[-1]) + SHINGLE)))
+                    rows.append((int(now[0, a]), int(other[part[0]]), cp, cr, *_cells(int(cp[0]), int(cp[-1]) + SHINGLE), *_cells(int(cr[0]), int(cr[-1]) + SHINGLE), None))
         return pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names)
 
     dealt = matches.repartition("doc").sortWithinPartitions("doc", "other", "pos", "other_pos")
-    return dealt.mapInArrow(run, "doc long, other long, p array<int>, r array<int>, lo int, hi int, other_lo int, other_hi int")
+    return dealt.mapInArrow(run, "doc long, other long, p array<int>, r array<int>, lo int, hi int, other_lo int, other_hi int, h array<long>")
 
 
 def align(a: np.ndarray, b: np.ndarray, p: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,32 +292,94 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     """(doc_id, start, end, other_id, other_start, other_end, words, matches): passages of at least
     ``least`` words of a document that stand in one with a smaller doc_id, as places of words.
 
-    The earlier document is the first that holds the passage's seeds; a passage that several
-    documents share is reported once for each but the first, so the rows of all passages link
-    every document that holds one to its first holder. Texts without five words and null texts
+    The earlier document is the first that holds the passage's seeds or a window of ``least`` of its
+    words; a passage that several documents share is reported for each but the first. Every window
+    of ``least`` words that stands in an earlier document lies in reported passages. Texts without five words and null texts
     have no passages; rows with a null doc_id take no part; rows with equal doc_id are not compared
     with each other. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     found, seed_path = stored(seeds(docs), "seeds")
+    matches = _matches(found).select("doc", "other", "pos", "other_pos", "h")
+    made, path = stored(_chained(matches, least), "chains")
+    done = _passages(docs, made.where("other is not null").drop("h"), None, least)
+    rest, rest_path = stored(_windows_left(docs, found, made.where("other is null").select("doc", "p", "h"), done, least), "rest")
+    remove_path(spark, seed_path)
+    remove_path(spark, path)
+    again = _matches(rest).where("open").select("doc", "other", "pos", "other_pos", "h")
+    made, path = stored(_chained(again, least, merge=False), "chains")
+    remove_path(spark, rest_path)
+    return done.union(_passages(docs, made.where("other is not null").drop("h"), path, least, True)).distinct()
+
+
+def _matches(found: DataFrame) -> DataFrame:
+    """Rows (h, doc, pos) with the first holder (other, other_pos) of their hash, if it is an earlier document."""
     first = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max("doc").alias("last")).where("f.doc < last")
     first = first.select("h", F.col("f.doc").alias("other"), F.col("f.pos").alias("other_pos"))
-    matches = found.join(first, "h").where("doc > other").select("doc", "other", "pos", "other_pos")
-    made, path = stored(_chained(matches), "chains")
-    remove_path(spark, seed_path)
+    return found.join(first, "h").where("doc > other")
+
+
+def _passages(docs: DataFrame, made: DataFrame, path: str | None, least: int, again: bool = False) -> DataFrame:
+    """The passages along the chains; their table at ``path`` goes, if one is given."""
     done, grid = None, _GRID
     while True:
-        aligned, aligned_path = _aligned(docs, made, least, done is not None)
-        remove_path(spark, path)
+        aligned, _ = _aligned(docs, made, least, again or done is not None)
+        if path:
+            remove_path(docs.sparkSession, path)
         part = aligned.where("not open").select(*_PASSAGE)
         done = part if done is None else done.union(part)
         more = aligned.where("open")
         if more.isEmpty():
-            return done.distinct()
+            return done
         grid *= 16
         made, path = stored(_widened(more, grid), "chains")
 
 
+def _windows_left(docs: DataFrame, found: DataFrame, places: DataFrame, done: DataFrame, least: int) -> DataFrame:
+    """(h, doc, pos, open): windows of ``least`` words that hold the seeds of windows in no passage
+    yet; ``open`` tells those."""
+    spans = done.select(F.col("doc_id").alias("doc"), F.struct("start", "end").alias("s")).groupBy("doc").agg(F.collect_set("s").alias("spans"))
+
+    def wanted(batches):
+        for b in batches:
+            out = [np.empty(0, np.int64)]
+            for p, h, taken in zip(b.column("p"), b.column("h"), b.column("spans").to_pylist(), strict=True):
+                p, h = p.values.to_numpy(), h.values.to_numpy()
+                at = starts(p, least)
+                at = at[uncovered(at, taken, least)]
+                # the first open window that has the place inside
+                i = np.searchsorted(at, p - (least - SHINGLE - WINDOW + 1))
+                inside = i < len(at)
+                inside[inside] = at[i[inside]] <= p[inside] - (WINDOW - 1)
+                out.append(h[inside])
+            yield pa.record_batch([pa.array(np.unique(np.concatenate(out)))], ["h"])
+
+    hashed = places.join(spans, "doc", "left").select("p", "h", "spans").mapInArrow(wanted, "h long").distinct()
+    held = found.join(hashed, "h", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("p")).where(F.size("p") > 1).withColumnRenamed("doc", "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+
+    def run(batches):
+        factors = multipliers(least, 5)
+        for b in batches:
+            hs, ds, ps, os = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, bool)]
+            for doc, text, p, taken in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary()), b.column("p"), b.column("spans").to_pylist(), strict=True):
+                at = starts(p.values.to_numpy(), least)
+                if not len(at):
+                    continue
+                words = hashes(words_of(text.as_py()))
+                at = at[at <= len(words) - least]
+                if not len(at):
+                    continue
+                hs.append(scramble(np.lib.stride_tricks.sliding_window_view(words, least)[at] @ factors))
+                ds.append(np.full(len(at), doc))
+                ps.append(at.astype(np.int32))
+                os.append(uncovered(at, taken, least))
+            yield pa.record_batch([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ps)), pa.array(np.concatenate(os))], ["h", "doc", "pos", "open"])
+
+    rows = texts.join(held, "id").join(spans.withColumnRenamed("doc", "id"), "id", "left").select("id", "text", "p", "spans")
+    return rows.mapInArrow(run, "h long, doc long, pos int, open boolean")
+
+
 _PASSAGE = ("doc_id", "start", "end", "other_id", "other_start", "other_end", "words", "matches")
 
 
