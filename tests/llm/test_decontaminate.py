@@ -76,6 +76,15 @@ def test_substitutions_are_tolerated(spark):
     assert [(r.doc_id, r.item_id, r.words) for r in decontaminate.contaminated(d, b).collect()] == [(1, 5, 27)]
 
 
+def test_a_short_run_hides_no_longer_one(spark):
+    item = [f"w{i}" for i in range(33)]
+    doc = [f"x{i}" if 12 <= i < 16 or i == 24 else w for i, w in enumerate(item)]
+    d = spark.createDataFrame([(1, " ".join(doc)), (2, " ".join(doc[::-1])), (3, " ".join(item[:12]))], "doc_id long, text string")
+    b = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.contaminated(d, b).collect()] == [(1, 5, 16, 16, 17, 16)]
+    assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect()) == [2, 3]
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")

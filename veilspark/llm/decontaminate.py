@@ -49,6 +49,23 @@ def overlap(same: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(total[: end + 1])), end
 
 
+def longest(same: np.ndarray, least: int) -> tuple[int, int] | None:
+    """The best run if it has ``least`` words; else, of the parts left and right of it in turn, the
+    run of at least ``least`` words with the most matches."""
+    best, todo = None, [(0, len(same))]
+    while todo:
+        low, high = todo.pop()
+        if high - low < least or 5 * np.count_nonzero(same[low:high]) <= 4 * least:  # over four in five words of a run match
+            continue
+        a, b = overlap(same[low:high])
+        if b - a < least:
+            todo += [(low, low + a), (low + b, high)] if b > a else []
+            continue
+        row = (int(np.count_nonzero(same[low + a : low + b])), -(low + a), low + b)
+        best = max(best or row, row)
+    return best and (-best[1], best[2])
+
+
 def required(n: int, least: int) -> int:
     """Words of overlap that an item of ``n`` words needs: ``least``, or four fifths of a short one."""
     return min(least, -(-4 * n // 5))
@@ -89,8 +106,8 @@ class _Slice:
             words = self.words[item]
             a, b = max(0, -shift), min(len(words), len(doc) - shift)
             same = words[a:b] == doc[a + shift : b + shift]
-            start, end = overlap(same)
-            if end - start >= required(len(words), least):
+            if run := longest(same, required(len(words), least)):
+                start, end = run
                 row = (int(same[start:end].sum()), -(a + shift + start), item, a + start, end - start)
                 best[item] = max(best.get(item, row), row)
         return [(self.ids[i], -d, s, n, m) for m, d, i, s, n in best.values()]
