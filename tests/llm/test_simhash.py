@@ -95,6 +95,15 @@ def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_keep_one_of_repeated_ids_with_different_texts(spark):
+    rnd = random.Random(6)
+    x, y, z, u = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(4))
+    rows = [(1, x), (5, x), (5, y), (6, z), (6, u), (6, u), (7, u), (None, y), (None, "alone " * 9), (None, "alone " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert sorted(kept, key=str) == sorted([(1, x), (5, y), (6, z), (6, u), (None, "alone " * 9)], key=str)
+
+
 def test_odd_distance_is_refused(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)

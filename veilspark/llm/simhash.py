@@ -219,10 +219,9 @@ def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int =
     classes = cut(_classes(base, distance, blocks))
     first = classes.where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
     kept = docs.join(first, docs["doc_id"] == first["_keep"], "left_semi")
-    again = base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not again.isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    if not base.where("doc_id is null").isEmpty():
+    again = base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    repeated = not again.isEmpty()
+    if repeated or not base.where("doc_id is null").isEmpty():
         column = "_fp"
 
         def run(batches):
@@ -230,8 +229,13 @@ def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int =
                 fps = [fingerprint(t.as_py() or b"", shingle) for t in b.column("text").cast(pa.binary())]
                 yield b.append_column(column, pa.array(np.array(fps, np.uint64).view(np.int64)))
 
+        # an id that is missing or repeated does not tell a row's component
         loose = docs.where("doc_id is null")
+        if repeated:
+            kept = kept.join(again, kept["doc_id"] == again["_again"], "left_anti")
+            loose = loose.union(docs.join(again, docs["doc_id"] == again["_again"], "left_semi"))
         loose = loose.mapInArrow(run, T.StructType([*loose.schema]).add(column, "long"))
-        alone = classes.where("component_id is null").select(F.col("fp").alias(column), F.col("root").alias("_root"))
-        kept = kept.union(loose.join(alone, column).dropDuplicates(["_root"]).select(*docs.columns))
+        own = classes.select(F.col("fp").alias(column), F.col("component_id").alias("_least"), F.col("root").alias("_root"))
+        first = loose.join(own, column).where(F.col("doc_id").eqNullSafe(F.col("_least")))
+        kept = kept.union(first.dropDuplicates(["_root"]).select(*docs.columns))
     return kept
