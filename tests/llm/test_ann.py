@@ -39,6 +39,15 @@ def test_recall_on_the_table(spark):
         assert hits == sorted(hits, key=lambda h: (-h[1], h[0]))
 
 
+def test_recall_with_the_parameters_of_the_query(spark):
+    from veilspark.llm import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding is not null").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    got = collect(queries.op2_ann(spark, "/root/testdata/sf0.1"))
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0} and recall(got, brute(ids, x, 20)) >= 0.9
+
+
 def brute_scores(ids, x, q):
     v = x[list(ids).index(q)]
     return [(int(j), float((v * w).sum())) for j, w in zip(ids, x, strict=True)]
