@@ -111,3 +111,10 @@ def test_pack_documents(spark):
 
 def test_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_the_bound_is_logged(spark, caplog):
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate([6, 6, 4, 4, 5])], "id long, length int")
+    with caplog.at_level("INFO", logger="veilspark.llm.packing"):
+        assert packing.pack(rows, ["id"], 10).agg({"sequence_id": "max"}).first()[0] == 2
+    assert "3 sequences, lower bound 3" in caplog.text

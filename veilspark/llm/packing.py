@@ -11,6 +11,7 @@ places in it by their rank among the pieces of equal length.
 from __future__ import annotations
 
 import json
+import logging
 import zlib
 from functools import lru_cache
 from itertools import permutations
@@ -254,7 +255,8 @@ def pack(rows: DataFrame, order: list[str], capacity: int = 1024, nodes: int = 4
         if not 1 <= n <= capacity:
             raise ValueError("lengths must lie between 1 and the capacity")
         counts[n] = k
-    patterns, _ = solve(counts, capacity, nodes)
+    patterns, bound = solve(counts, capacity, nodes)
+    logging.getLogger(__name__).info("%d sequences, lower bound %d", sum(k for _, k in patterns), bound)
     slots, taken, base = [], {}, 0
     for pattern, k in patterns:
         at = 0
