@@ -46,9 +46,9 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once, whatever the length of texts: Arrow batches of at
-    most 1000 rows and 8 MB. To be called by whoever owns the session, before a query."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    most 10,000 rows and 4 MB. To be called by whoever owns the session, before a query."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -58,6 +58,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def likely(df: DataFrame, key: str, ids: DataFrame, into: str, bits: int = 1 << 24) -> DataFrame:
+    """``df`` with the column ``into``: whether the column ``key`` may be among the values of the one
+    column of ``ids``. True for all that are, false for most that are not, and for nulls.
+
+    The values' hashes set bits of a map; at most ``bits`` / 64 rows of it are broadcast, however many
+    values there are. So a join that concerns few rows of a large table need not move the others.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marks = ids.select(bit(F.col(ids.columns[0])).alias("_bit")).groupBy(F.floor(F.col("_bit") / 64).alias("_word"))
+    marks = marks.agg(F.expr("bit_or(shiftleft(1L, CAST(_bit % 64 AS INT)))").alias("_marks"))
+    word, marked = (fresh(df, x) for x in ("_word", "_marks"))
+    marks = marks.select(F.col("_word").alias(word), F.col("_marks").alias(marked))
+    joined = df.withColumn(word, F.floor(bit(F.col(key)) / 64)).join(F.broadcast(marks), word, "left")
+    own = F.call_function("shiftright", F.col(marked), (bit(F.col(key)) % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return joined.withColumn(into, F.col(key).isNotNull() & F.coalesce(own, F.lit(False))).drop(word, marked)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def numbered(df: DataFrame, order: list[str], into: str, of: str | None = None, per_bucket: int = 50_000, most: int = 1 << 14) -> tuple[DataFrame, dict]:
     """Gapless row numbers from 0, per value of the integer column ``of`` (None: over all rows).
 

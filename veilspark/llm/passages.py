@@ -24,18 +24,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove_path, stored
-from .decontaminate import overlap
-from .words import gram_hashes, hashes, multipliers, scramble
+from .common import fresh, likely, remove_path, stored
+from .words import gram_hashes, hashed, portions, sliding, stretch_hashes
 
 SHINGLE = 5
 WINDOW = 12
 _GRID = 16  # windows are fetched in whole cells of so many words, at first
-_FEW = 200_000  # windows that may be broadcast
 _GAP, _DRIFT, _COST = 96, 48, 0.05
+_ROW = 1 << 32  # a row's number and a place in it as one number
+_MANY = 1 << 18  # matches that are solved at once
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -43,22 +44,21 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Places of the hashes that are the smallest of some ``window`` consecutive ones, or of all if
-    there are fewer; every such place, so each copy in one text has seeds."""
-    if len(h) <= window:
-        return np.flatnonzero(h == h.min()) if len(h) else np.empty(0, dtype=np.int64)
-    low, reach = h, 1
-    while reach < window:
-        step = min(reach, window - reach)
-        low = np.minimum(low[:-step], low[step:])
-        reach += step
-    high, reach = np.r_[np.zeros(window - 1, np.uint64), low, np.zeros(window - 1, np.uint64)], 1
-    while reach < window:  # the largest of the windows' minima around a place
-        step = min(reach, window - reach)
-        high = np.maximum(high[:-step], high[step:])
-        reach += step
-    return np.flatnonzero(high == h)
+def winnow(h: np.ndarray, window: int = WINDOW, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Indices of the hashes that are the smallest of some ``window`` consecutive ones of their text, or of
+    all if it has fewer; every such place, so each copy in one text has seeds. ``sizes``: how many of
+    the hashes belong to each text (None: one text)."""
+    sizes = np.array([len(h)]) if sizes is None else sizes
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(h)) - (np.cumsum(sizes) - sizes)[row]
+    at = np.arange(len(h)) + (window - 1) * row  # with room between the texts, so no window reaches into the next
+    wide = np.full(len(h) + (window - 1) * (len(sizes) + 1), np.iinfo(np.uint64).max, dtype=np.uint64)
+    wide[at] = h
+    low = sliding(wide, window, np.minimum)
+    begins = at[(place == 0) | (place + window <= sizes[row])]
+    minima = np.zeros(len(wide) + window - 1, dtype=np.uint64)
+    minima[begins + window - 1] = low[begins]
+    return np.flatnonzero(sliding(minima, window, np.maximum)[at] == h)
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -67,33 +67,44 @@ def seeds(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             ids = b.column("doc_id").to_numpy()
-            hs, ds, ps = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for doc, text in zip(ids, b.column("text").cast(pa.binary()), strict=True):
-                h = gram_hashes(hashes(words_of(text.as_py())), list(range(SHINGLE)))
-                at = winnow(h)
-                hs.append(h[at])
-                ds.append(np.full(len(at), doc))
-                ps.append(at.astype(np.int32))
-            yield pa.record_batch([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ps))], ["h", "doc", "pos"])
+            for first, texts in portions(b.column("text")):
+                words, edges = hashed(texts, words_of)
+                grams = gram_hashes(words, list(range(SHINGLE)))
+                sizes = np.maximum(np.diff(edges) - (SHINGLE - 1), 0)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+                h = grams[edges[row] + place]
+                at = winnow(h, sizes=sizes)
+                yield pa.record_batch([pa.array(h[at].view(np.int64)), pa.array(ids[first + row[at]]), pa.array(place[at].astype(np.int32))], ["h", "doc", "pos"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "h long, doc long, pos int")
+    return _texts(docs, "doc_id").mapInArrow(run, "h long, doc long, pos int")
 
 
-def thin(p: np.ndarray, r: np.ndarray, apart: int = 50) -> np.ndarray:
+def _texts(docs: DataFrame, name: str) -> DataFrame:
+    """The documents that take part, with their id under ``name``."""
+    return docs.select(F.col("doc_id").cast("long").alias(name), "text").where(F.col(name).isNotNull() & F.col("text").isNotNull())
+
+
+def thin(p: np.ndarray, r: np.ndarray, apart: int) -> np.ndarray:
     """Indices of the matches (p, r), p ascending, without those that only go on a periodic stretch: a
     match whose place r also matched one and two periods of up to ``apart`` words before stays only
-    if the next one would be over ``apart`` words from the last that stays. Places that recur without a period all stay."""
+    if the next one would be over ``apart`` words from the last that stays, or if it is the stretch's
+    last. Places that recur without a period all stay. Stretches of ``apart`` words from the
+    matches that stay cover those of all."""
     if len(np.unique(r)) == len(r):
         return np.arange(len(p))
-    keep, seen = [], {}  # r: the last two places, the last that stays
+    keep, seen = [], {}  # r: the last two places, the last that stays, the last that does not and came after it
     for i, (at, to) in enumerate(zip(p.tolist(), r.tolist(), strict=True)):
-        one, two, kept = seen.get(to, (None, None, None))
-        if two is None or at - one != one - two or at - one > apart or at - kept + at - one > apart:
+        one, two, kept, left = seen.get(to, (None, None, None, None))
+        goes_on = two is not None and at - one == one - two and at - one <= apart
+        if not goes_on and left is not None:
+            keep.append(left)
+        if not goes_on or at - kept + at - one > apart:
             keep.append(i)
-            kept = at
-        seen[to] = (at, one, kept)
-    return np.array(keep)
+            seen[to] = (at, one, at, None)
+        else:
+            seen[to] = (at, one, kept, i)
+    return np.array(sorted([*keep, *(x[3] for x in seen.values() if x[3] is not None)]))
 
 
 class Fenwick:
@@ -156,76 +167,132 @@ def chains(p: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _cells(low: int, high: int, grid: int = _GRID) -> tuple[int, int]:
+def _cells(low: np.ndarray, high: np.ndarray, grid: int = _GRID) -> tuple[np.ndarray, np.ndarray]:
     """The words from ``low`` to ``high`` with at least ``grid`` more on either side, in whole cells."""
-    return max(0, low - grid) // grid * grid, -(-(high + grid) // grid) * grid
+    return np.maximum(0, low - grid) // grid * grid, -(-(high + grid) // grid) * grid
+
+
+def ranges(row: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last): where windows of ``least`` words (38 or more) may begin whose inner seeds
+    are all among the places, which ascend within each row; ascending and disjoint.
+
+    Inner seeds are smallest in a run of hashes that the window holds whole, so every text with the
+    window has them; they begin and end within WINDOW of the inner part's ends and are at most
+    WINDOW apart."""
+    if not len(places):
+        return row, places, places
+    edges = np.flatnonzero((np.diff(row) != 0) | (np.diff(places) > WINDOW)) + 1
+    begin, end = np.r_[0, edges], np.r_[edges - 1, len(places) - 1]
+    low = np.maximum(0, places[begin] - 2 * (WINDOW - 1))
+    high = places[end] - least + SHINGLE + 2 * (WINDOW - 1)
+    ok = high >= low
+    return row[begin][ok], low[ok], high[ok]
+
+
+def spread(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of all places from ``low`` to ``high``."""
+    n = high - low + 1
+    return np.repeat(row, n), np.arange(int(n.sum())) + np.repeat(low - np.cumsum(n) + n, n)
 
 
 def starts(places: np.ndarray, least: int) -> np.ndarray:
-    """Where a window of ``least`` words (38 or more) may begin whose inner seeds are all among the
-    places. Inner seeds are smallest in a run of hashes that the window holds whole, so every text
-    with the window has them; they begin and end within WINDOW of the inner part's ends and are at
-    most WINDOW apart."""
+    """The places of :func:`ranges` in one text."""
     places = np.unique(places)
-    if not len(places):
-        return places
-    edges = np.flatnonzero(np.diff(places) > WINDOW) + 1
-    low = np.maximum(0, places[np.r_[0, edges]] - 2 * (WINDOW - 1))
-    high = places[np.r_[edges - 1, len(places) - 1]] - least + SHINGLE + 2 * (WINDOW - 1)
-    return np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
-
-
-def uncovered(at: np.ndarray, spans, least: int) -> np.ndarray:
-    """Which windows of ``least`` words from ``at`` do not lie in the union of the spans."""
-    begin, end = [], []
-    for a, b in sorted((x["start"], x["end"]) for x in spans or ()):
-        if end and a <= end[-1]:
-            end[-1] = max(end[-1], b)
-        else:
-            begin.append(a)
-            end.append(b)
-    if not begin:
+    return spread(*ranges(np.zeros(len(places), dtype=np.int64), places, least))[1]
+
+
+def union(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unions of each row's spans, as ascending (row, place) numbers of their begins and ends."""
+    order = np.lexsort((begin, row))
+    low, high = row[order] * _ROW + begin[order], np.maximum.accumulate(row[order] * _ROW + end[order])
+    new = np.flatnonzero(np.r_[np.ones(min(1, len(low)), dtype=bool), low[1:] > high[:-1]])
+    return low[new], high[np.r_[new[1:] - 1, len(high) - 1]] if len(new) else high
+
+
+def uncovered(row: np.ndarray, at: np.ndarray, spans: tuple[np.ndarray, np.ndarray], least: int) -> np.ndarray:
+    """Which windows of ``least`` words from ``at`` do not lie in the unions of their rows' spans."""
+    begin, end = spans
+    if not len(begin):
         return np.ones(len(at), dtype=bool)
-    i = np.searchsorted(begin, at, side="right") - 1
-    return (i < 0) | (at + least > np.array(end)[i])
+    key = row * _ROW + at
+    i = np.searchsorted(begin, key, side="right") - 1
+    return (i < 0) | (key + least > end[np.maximum(i, 0)])
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """For each element of a column of lists the row that it is in, and the elements."""
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten()
+
+
+def _union_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    row, spans = _flat(column)
+    return union(row, *(spans.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end")))
+
+
+def _lists(values: np.ndarray, begin: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """The values cut at ``begin`` into lists."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[begin, len(values)].astype(np.int32)), pa.array(values, kind))
 
 
-def _chained(matches: DataFrame, least: int, merge: bool = True) -> DataFrame:
+_CHAIN = "doc long, other long, p array<int>, r array<int>, lo int, hi int, other_lo int, other_hi int, h array<long>"
+
+
+def _chained(matches: DataFrame, least: int) -> DataFrame:
     """The chains of each document with each earlier one, and with a null ``other`` the places and
     hashes of its matches where windows may stand. A task holds one document's matches; those of
-    periodic stretches are merged if so told."""
+    periodic stretches are merged."""
     names = ["doc", "other", "p", "r", "lo", "hi", "other_lo", "other_hi", "h"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int32()] * 4, pa.list_(pa.int64())]
 
     def run(batches):
-        left = np.empty((5, 0), dtype=np.int64)
+        held, size = [], 0
         for b in batches:
-            now = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("doc", "other", "pos", "other_pos", "h")])
-            now = np.concatenate([left, now], axis=1)
-            last = int(np.searchsorted(now[0], now[0, -1])) if now.shape[1] else 0
-            left = now[:, last:]
-            if last:
-                yield solve(now[:, :last])
-        if left.shape[1]:
-            yield solve(left)
+            if not len(b):
+                continue
+            held.append(np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("doc", "other", "pos", "other_pos", "h")]))
+            size += len(b)
+            if size > _MANY and held[0][0, 0] != held[-1][0, -1]:
+                now = np.concatenate(held, axis=1)
+                last = int(np.searchsorted(now[0], now[0, -1]))  # sorted: the last document may go on
+                yield from solve(now[:, :last])
+                held, size = [now[:, last:]], now.shape[1] - last
+        if size:
+            yield from solve(np.concatenate(held, axis=1))
+
+    def chained(doc, other, p, r, begin):
+        end = np.r_[begin[1:], len(p)] - 1
+        cells = (*_cells(p[begin], p[end] + SHINGLE), *_cells(r[begin], r[end] + SHINGLE))
+        lists = [_lists(x, begin, pa.int32()) for x in (p, r)]
+        return pa.record_batch([pa.array(doc), pa.array(other), *lists, *(pa.array(c, pa.int32()) for c in cells), pa.nulls(len(begin), pa.list_(pa.int64()))], names)
 
     def solve(now):
-        rows = []
-        edges = np.r_[0, np.flatnonzero(np.diff(now[0])) + 1, now.shape[1]]
-        for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            _, other, p, r, h = now[:, a:e]
-            if len(starts(p, least)):
-                rows.append((int(now[0, a]), None, p, *[None] * 5, h))
-            for part in np.split(np.arange(e - a), np.flatnonzero(np.diff(other)) + 1):
-                if merge:
-                    part = part[thin(p[part], r[part])]
-                for chain in chains(p[part], r[part]):
-                    cp, cr = p[part][chain], r[part][chain]
-                    rows.append((int(now[0, a]), int(other[part[0]]), cp, cr, *_cells(int(cp[0]), int(cp[-1]) + SHINGLE), *_cells(int(cr[0]), int(cr[-1]) + SHINGLE), None))
-        return pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names)
+        doc, other, p, r, h = now
+        first = np.r_[True, (np.diff(doc) != 0) | (np.diff(other) != 0)]
+        edges = np.r_[np.flatnonzero(first), len(doc)]
+        straight = np.minimum.reduceat(p - r, edges[:-1]) == np.maximum.reduceat(p - r, edges[:-1])
+        # all matches of most pairs lie on one diagonal: their chains break at gaps alone
+        on = np.flatnonzero(np.repeat(straight, np.diff(edges)))
+        if len(on):
+            begin = np.flatnonzero((first | np.r_[True, np.diff(p) > _GAP])[on])
+            yield chained(doc[on][begin], other[on][begin], p[on], r[on], begin)
+        found = []
+        for g in np.flatnonzero(~straight).tolist():
+            part = np.arange(edges[g], edges[g + 1])
+            part = part[thin(p[part], r[part], least)]
+            found += [part[chain] for chain in chains(p[part], r[part])]
+        if found:
+            at = np.concatenate(found)
+            begin = np.cumsum([0, *(len(x) for x in found[:-1])])
+            yield chained(doc[at][begin], other[at][begin], p[at], r[at], begin)
+        order = np.lexsort((p, doc))
+        whole = np.isin(doc, np.unique(ranges(doc[order], p[order], least)[0]))
+        if whole.any():
+            begin = np.flatnonzero(np.r_[True, np.diff(doc[whole]) != 0])
+            none = [pa.nulls(len(begin), t) for t in (pa.list_(pa.int32()), *[pa.int32()] * 4)]
+            yield pa.record_batch([pa.array(doc[whole][begin]), pa.nulls(len(begin), pa.int64()), _lists(p[whole], begin, pa.int32()), *none, _lists(h[whole], begin, pa.int64())], names)
 
     dealt = matches.repartition("doc").sortWithinPartitions("doc", "other", "pos", "other_pos")
-    return dealt.mapInArrow(run, "doc long, other long, p array<int>, r array<int>, lo int, hi int, other_lo int, other_hi int, h array<long>")
+    return dealt.mapInArrow(run, _CHAIN)
 
 
 def align(a: np.ndarray, b: np.ndarray, p: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,42 +322,76 @@ def align(a: np.ndarray, b: np.ndarray, p: np.ndarray, r: np.ndarray) -> tuple[n
     return to, same
 
 
-def runs(same: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """The best run of at least ``least`` words, and those left and right of it in turn."""
-    out, todo = [], [(0, len(same))]
-    while todo:
-        low, high = todo.pop()
-        if high - low < least:
-            continue
-        a, b = overlap(same[low:high])
-        if b > a:
-            if b - a >= least:
-                out.append((low + a, low + b))
-            todo += [(low, low + a), (low + b, high)]
-    return sorted(out)
-
-
-def _windows(docs: DataFrame, wanted: DataFrame, again: bool) -> DataFrame:
-    """(id, lo, hi, words): the words' hashes in the wanted places, as far as the text goes."""
+def best_run(same: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The run with the largest sum of +1 for a match and -4 for another word in each part of ``same``
+    between the ``edges`` (no part is empty): [start, end) in all of it."""
+    n = np.diff(edges)
+    part = np.repeat(np.arange(len(n)), n)
+    total = np.cumsum(np.where(same, 1, -4))
+    before = np.r_[0, total[:-1]]  # the sum up to a word; it may begin a run
+    # a part's sums all lie below those of the one before, so running minima begin anew
+    below = np.minimum.accumulate(before - part * (10 * len(same) + 10)) + part * (10 * len(same) + 10)
+    gain = total - below
+    best = np.maximum.reduceat(gain, edges[:-1])
+    firsts = lambda hit: hit[np.r_[True, np.diff(part[hit]) != 0]]  # noqa: E731 - each part's first place
+    last = firsts(np.flatnonzero(gain == best[part]))
+    begin = firsts(np.flatnonzero(before == below[last][part]))
+    return np.where(best > 0, begin, edges[:-1]), np.where(best > 0, last + 1, edges[:-1])
+
+
+def runs(same: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, start, end): of each part of ``same`` between the ``edges`` the best run of at least
+    ``least`` words, and those left and right of it in turn; starts and ends are places in ``same``."""
+    hits = np.r_[0, np.cumsum(same)]
+    part, low, high = np.arange(len(edges) - 1), edges[:-1], edges[1:]
+    found = []
+    while True:
+        # over four in five words of a run match
+        ok = (high - low >= least) & (5 * (hits[high] - hits[low]) > 4 * least)
+        part, low, high = part[ok], low[ok], high[ok]
+        if not len(part):
+            break
+        inner = np.r_[0, np.cumsum(high - low)]
+        begin, end = best_run(same[spread(part, low, high - 1)[1]], inner)
+        begin, end = begin - inner[:-1] + low, end - inner[:-1] + low
+        long = end - begin >= least
+        found.append((part[long], begin[long], end[long]))
+        some = end > begin
+        part = np.r_[part[some], part[some]]
+        low, high = np.r_[low[some], end[some]], np.r_[begin[some], high[some]]
+    out = [np.concatenate([f[i] for f in found]) if found else np.empty(0, dtype=np.int64) for i in range(3)]
+    order = np.lexsort((out[1], out[0]))
+    return tuple(x[order] for x in out)
+
+
+def _windows(docs: DataFrame, made: DataFrame) -> DataFrame:
+    """(id, lo, hi, words): the words' hashes in the places that the chains ``made`` want, as far as the text goes."""
+    wanted = made.select(F.col("doc").alias("id"), "lo", "hi").union(made.select("other", "other_lo", "other_hi"))
     per = wanted.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("w"))  # a few per cell, however often wanted
-    if again and wanted.limit(_FEW + 1).count() <= _FEW:  # later rounds want few: the texts stay where they are
-        per = F.broadcast(per)
 
     def run(batches):
         for b in batches:
-            rows = []
-            for doc, text, places in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary()), b.column("w").to_pylist(), strict=True):
-                words = hashes(words_of(text.as_py())).astype("<u4")
-                rows += [(doc, w["lo"], w["hi"], words[w["lo"] : w["hi"]].tobytes()) for w in places]
-            yield pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["id", "lo", "hi", "words"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    return texts.join(per, "id").mapInArrow(run, "id long, lo int, hi int, words binary")
+            of, wanted = _flat(b.column("w"))
+            lo, hi = (wanted.field(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
+            ids = b.column("id").to_numpy()
+            for first, texts in portions(b.column("text")):
+                words, edges = hashed(texts, words_of)
+                mine = slice(*np.searchsorted(of, (first, first + len(texts))).tolist())
+                begin, end = edges[of[mine] - first], edges[of[mine] - first + 1]
+                at, to = np.minimum(begin + lo[mine], end), np.minimum(begin + hi[mine], end)
+                data = words.astype("<u4")[spread(at, at, to - 1)[1]]
+                places = pa.py_buffer((4 * np.r_[0, np.cumsum(to - at)]).astype(np.int32))
+                column = pa.Array.from_buffers(pa.binary(), len(at), [None, places, pa.py_buffer(data)])
+                yield pa.record_batch([pa.array(ids[of[mine]]), pa.array(lo[mine], pa.int32()), pa.array(hi[mine], pa.int32()), column], ["id", "lo", "hi", "words"])
+
+    # texts without a window stay where they are
+    some = likely(_texts(docs, "id"), "id", wanted.select("id"), "_some").where("_some").drop("_some")
+    return some.join(per.hint("merge"), "id").mapInArrow(run, "id long, lo int, hi int, words binary")
 
 
 def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     """(doc_id, start, end, other_id, other_start, other_end, words, matches): passages of at least
-    ``least`` words of a document that stand in one with a smaller doc_id, as places of words.
+    ``least`` words (38 or more) of a document that stand in one with a smaller doc_id, as places of words.
 
     The earlier document is the first that holds the passage's seeds or a window of ``least`` of its
     words; a passage that several documents share is reported for each but the first. Every window
@@ -298,32 +399,40 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     have no passages; rows with a null doc_id take no part; rows with equal doc_id are not compared
     with each other. Other columns are ignored; an empty table gives an empty result.
     """
+    if least < 38:
+        raise ValueError("a window of fewer than 38 words need not hold inner seeds")
     spark = docs.sparkSession
     found, seed_path = stored(seeds(docs), "seeds")
-    matches = _matches(found).select("doc", "other", "pos", "other_pos", "h")
-    made, path = stored(_chained(matches, least), "chains")
+    matches, first_path = _matches(found)
+    made, path = stored(_chained(matches.select("doc", "other", "pos", "other_pos", "h"), least), "chains")
+    remove_path(spark, first_path)
     done = _passages(docs, made.where("other is not null").drop("h"), None, least)
-    rest, rest_path = stored(_windows_left(docs, found, made.where("other is null").select("doc", "p", "h"), done, least), "rest")
+    rest, held_path = _windows_left(docs, found, made.where("other is null").select("doc", "p", "h"), done, least)
+    rest, rest_path = stored(rest, "rest")
+    remove_path(spark, held_path)
     remove_path(spark, seed_path)
     remove_path(spark, path)
-    again = _matches(rest).where("open").select("doc", "other", "pos", "other_pos", "h")
-    made, path = stored(_chained(again, least, merge=False), "chains")
+    again, first_path = _matches(rest)
+    made, path = stored(_chained(again.where("open").select("doc", "other", "pos", "other_pos", "h"), least).where("other is not null"), "chains")
     remove_path(spark, rest_path)
-    return done.union(_passages(docs, made.where("other is not null").drop("h"), path, least, True)).distinct()
+    remove_path(spark, first_path)
+    return done.union(_passages(docs, made.drop("h"), path, least)).distinct()
 
 
-def _matches(found: DataFrame) -> DataFrame:
-    """Rows (h, doc, pos) with the first holder (other, other_pos) of their hash, if it is an earlier document."""
+def _matches(found: DataFrame) -> tuple[DataFrame, str]:
+    """Rows (h, doc, pos) with the first holder (other, other_pos) of their hash, if it is an earlier
+    document, and the path of the table of first holders. As a table of its own it leaves the join
+    free to split a hash that very many documents hold."""
     first = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max("doc").alias("last")).where("f.doc < last")
-    first = first.select("h", F.col("f.doc").alias("other"), F.col("f.pos").alias("other_pos"))
-    return found.join(first, "h").where("doc > other")
+    first, path = stored(first.select("h", F.col("f.doc").alias("other"), F.col("f.pos").alias("other_pos")), "first")
+    return found.join(first, "h").where("doc > other"), path
 
 
-def _passages(docs: DataFrame, made: DataFrame, path: str | None, least: int, again: bool = False) -> DataFrame:
+def _passages(docs: DataFrame, made: DataFrame, path: str | None, least: int) -> DataFrame:
     """The passages along the chains; their table at ``path`` goes, if one is given."""
     done, grid = None, _GRID
     while True:
-        aligned, _ = _aligned(docs, made, least, again or done is not None)
+        aligned = _aligned(docs, made, least)
         if path:
             remove_path(docs.sparkSession, path)
         part = aligned.where("not open").select(*_PASSAGE)
@@ -335,49 +444,51 @@ def _passages(docs: DataFrame, made: DataFrame, path: str | None, least: int, ag
         made, path = stored(_widened(more, grid), "chains")
 
 
-def _windows_left(docs: DataFrame, found: DataFrame, places: DataFrame, done: DataFrame, least: int) -> DataFrame:
+def _windows_left(docs: DataFrame, found: DataFrame, places: DataFrame, done: DataFrame, least: int) -> tuple[DataFrame, str]:
     """(h, doc, pos, open): windows of ``least`` words that hold the seeds of windows in no passage
-    yet; ``open`` tells those."""
+    yet; ``open`` tells those. And the path of a table that this reads."""
     spans = done.select(F.col("doc_id").alias("doc"), F.struct("start", "end").alias("s")).groupBy("doc").agg(F.collect_set("s").alias("spans"))
 
     def wanted(batches):
         for b in batches:
-            out = [np.empty(0, np.int64)]
-            for p, h, taken in zip(b.column("p"), b.column("h"), b.column("spans").to_pylist(), strict=True):
-                p, h = p.values.to_numpy(), h.values.to_numpy()
-                at = starts(p, least)
-                at = at[uncovered(at, taken, least)]
-                # the first open window that has the place inside
-                i = np.searchsorted(at, p - (least - SHINGLE - WINDOW + 1))
-                inside = i < len(at)
-                inside[inside] = at[i[inside]] <= p[inside] - (WINDOW - 1)
-                out.append(h[inside])
-            yield pa.record_batch([pa.array(np.unique(np.concatenate(out)))], ["h"])
-
-    hashed = places.join(spans, "doc", "left").select("p", "h", "spans").mapInArrow(wanted, "h long").distinct()
-    held = found.join(hashed, "h", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("p")).where(F.size("p") > 1).withColumnRenamed("doc", "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+            row, p = _flat(b.column("p"))
+            p, h = p.to_numpy().astype(np.int64), b.column("h").flatten().to_numpy()
+            order = np.lexsort((p, row))
+            of, at = spread(*ranges(row[order], p[order], least))
+            open_ = uncovered(of, at, _union_of(b.column("spans")), least)
+            key = of[open_] * _ROW + at[open_]
+            # the first open window that has the place inside
+            i = np.searchsorted(key, row * _ROW + np.maximum(0, p - (least - SHINGLE - WINDOW + 1)))
+            inside = np.flatnonzero(i < len(key))
+            inside = inside[key[i[inside]] <= row[inside] * _ROW + p[inside] - (WINDOW - 1)]
+            yield pa.record_batch([pa.array(np.unique(h[inside]))], ["h"])
+
+    hashed_, path = stored(places.join(spans, "doc", "left").select("p", "h", "spans").mapInArrow(wanted, "h long").distinct(), "open")
+    some = likely(found, "h", hashed_, "_some").where("_some").drop("_some")
+    held = some.join(hashed_, "h", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("p")).where(F.size("p") > 1).withColumnRenamed("doc", "id")
+    held, held_path = stored(held.join(spans.withColumnRenamed("doc", "id"), "id", "left"), "held")
+    remove_path(docs.sparkSession, path)
 
     def run(batches):
-        factors = multipliers(least, 5)
         for b in batches:
-            hs, ds, ps, os = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, bool)]
-            for doc, text, p, taken in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary()), b.column("p"), b.column("spans").to_pylist(), strict=True):
-                at = starts(p.values.to_numpy(), least)
-                if not len(at):
-                    continue
-                words = hashes(words_of(text.as_py()))
-                at = at[at <= len(words) - least]
-                if not len(at):
-                    continue
-                hs.append(scramble(np.lib.stride_tricks.sliding_window_view(words, least)[at] @ factors))
-                ds.append(np.full(len(at), doc))
-                ps.append(at.astype(np.int32))
-                os.append(uncovered(at, taken, least))
-            yield pa.record_batch([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ps)), pa.array(np.concatenate(os))], ["h", "doc", "pos", "open"])
-
-    rows = texts.join(held, "id").join(spans.withColumnRenamed("doc", "id"), "id", "left").select("id", "text", "p", "spans")
-    return rows.mapInArrow(run, "h long, doc long, pos int, open boolean")
+            of, p = _flat(b.column("p"))
+            p = p.to_numpy().astype(np.int64)
+            order = np.lexsort((p, of))
+            of, at = spread(*ranges(of[order], p[order], least))
+            open_ = uncovered(of, at, _union_of(b.column("spans")), least)
+            ids = b.column("id").to_numpy()
+            for first, texts in portions(b.column("text")):
+                words, edges = hashed(texts, words_of)
+                mine = slice(*np.searchsorted(of, (first, first + len(texts))).tolist())
+                row, place = of[mine], at[mine]
+                begin = edges[row - first] + place
+                inside = begin + least <= edges[row - first + 1]
+                h = stretch_hashes(words, begin[inside], least)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids[row[inside]]), pa.array(place[inside], pa.int32()), pa.array(open_[mine][inside])], ["h", "doc", "pos", "open"])
+
+    rows = likely(_texts(docs, "id"), "id", held.select("id"), "_some").where("_some").drop("_some")
+    rows = rows.join(held.hint("merge"), "id").select("id", "text", "p", "spans")
+    return rows.mapInArrow(run, "h long, doc long, pos int, open boolean"), held_path
 
 
 _PASSAGE = ("doc_id", "start", "end", "other_id", "other_start", "other_end", "words", "matches")
@@ -396,46 +507,70 @@ def _widened(more: DataFrame, grid: int) -> DataFrame:
     return chain.select("*", lo.alias("lo"), hi.alias("hi"), other_lo.alias("other_lo"), other_hi.alias("other_hi"))
 
 
-def _aligned(docs: DataFrame, made: DataFrame, least: int, again: bool) -> tuple[DataFrame, str]:
-    """As a table and its path: the passages along each chain, or one row with ``open`` and the chain if one of its runs
+def _aligned(docs: DataFrame, made: DataFrame, least: int) -> DataFrame:
+    """As a table: the passages along each chain, or one row with ``open`` and the chain if one of its runs
     reaches the edge of a window and its text goes on."""
-    wanted = made.select(F.col("doc").alias("id"), "lo", "hi").union(made.select("other", "other_lo", "other_hi")).distinct()
-    windows, path = stored(_windows(docs, wanted, again), "windows")
+    windows, path = stored(_windows(docs, made), "windows")
     ours = windows.select(F.col("id").alias("doc"), "lo", "hi", F.col("words").alias("a"))
     theirs = windows.select(F.col("id").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), F.col("words").alias("b"))
     pairs = made.join(ours, ["doc", "lo", "hi"]).join(theirs, ["other", "other_lo", "other_hi"])
     taken = ["doc", "other", "lo", "hi", "other_lo", "other_hi", "p", "r", "a", "b"]
-    types = [*[pa.int64()] * 8, pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc, other, lo, hi, other_lo, other_hi, p, r, a, b in zip(*(batch.column(c).to_pylist() for c in taken), strict=True):
-                a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-                to, same = align(a, b, np.array(p) - lo, np.array(r) - other_lo)
-                goes_on = (lo > 0, len(a) == hi - lo, other_lo > 0, len(b) == other_hi - other_lo)
-                found = runs(same, min(least, WINDOW))
-                # a run that ends within a shingle of an edge may go on behind it
-                near = [(s < SHINGLE, e > len(a) - SHINGLE, to[s] < SHINGLE, to[e - 1] >= len(b) - SHINGLE) for s, e in found]
-                at_edge = any(x and y for n in near for x, y in zip(n, goes_on, strict=True))
-                if at_edge:
-                    rows.append((doc, None, None, other, None, None, None, None, True, p, r))
-                    continue
-                for s, e in found:
-                    if e - s >= least:
-                        rows.append((doc, lo + s, lo + e, other, other_lo + int(to[s]), other_lo + int(to[e - 1]) + 1, e - s, int(same[s:e].sum()), False, None, None))
-            yield pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], [*_PASSAGE, "open", "p", "r"])
+            for at in range(0, len(batch), 2000):
+                yield solve(batch.slice(at, 2000))
+
+    def solve(b):
+        doc, other, lo, hi, other_lo, other_hi = (b.column(c).to_numpy().astype(np.int64) for c in taken[:6])
+        (row, p), (_, r) = (_flat(b.column(c)) for c in "pr")
+        p, r = p.to_numpy().astype(np.int64) - lo[row], r.to_numpy().astype(np.int64) - other_lo[row]
+        begin = np.r_[np.flatnonzero(np.r_[True, np.diff(row) != 0]), len(row)]
+        na, nb = (pc.binary_length(b.column(c)).to_numpy().astype(np.int64) // 4 for c in "ab")
+        a, other_words = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4") for c in "ab")
+        edges, other_edges = np.r_[0, np.cumsum(na)], np.r_[0, np.cumsum(nb)]
+        # along the first match's diagonal
+        of, place = spread(np.arange(len(b)), np.zeros(len(b), dtype=np.int64), na - 1)
+        to = place + (r - p)[begin[:-1]][of]
+        inside = np.flatnonzero((to >= 0) & (to < nb[of]))
+        same = np.zeros(len(to), dtype=bool)
+        same[inside] = a[inside] == other_words[other_edges[of[inside]] + to[inside]]
+        # a row of another text under the same id may be too short for the chain
+        fits = (p[begin[1:] - 1] < na) & (np.maximum.reduceat(r, begin[:-1]) < nb)
+        same &= fits[of]
+        bent = fits & (np.minimum.reduceat(r - p, begin[:-1]) != np.maximum.reduceat(r - p, begin[:-1]))
+        for i in np.flatnonzero(bent).tolist():
+            own, chain = slice(edges[i], edges[i + 1]), slice(begin[i], begin[i + 1])
+            to[own], same[own] = align(a[own], other_words[other_edges[i] : other_edges[i + 1]], p[chain], r[chain])
+        of, start, end = runs(same, edges, min(least, WINDOW))
+        hits = np.r_[0, np.cumsum(same)]
+        s, e, to_s, to_e = start - edges[of], end - edges[of], to[start], to[end - 1]
+        # a run that ends within a shingle of an edge may go on behind it, if the text does
+        at_edge = (s < SHINGLE) & (lo[of] > 0) | (e > na[of] - SHINGLE) & (na == hi - lo)[of]
+        at_edge |= (to_s < SHINGLE) & (other_lo[of] > 0) | (to_e >= nb[of] - SHINGLE) & (nb == other_hi - other_lo)[of]
+        more = np.unique(of[at_edge])
+        good = (e - s >= least) & ~np.isin(of, more)
+        of = of[good]
+        numbers = (doc[of], lo[of] + s[good], lo[of] + e[good], other[of], other_lo[of] + to_s[good], other_lo[of] + to_e[good] + 1, (e - s)[good], (hits[end] - hits[start])[good])
+        none, i = pa.nulls(len(more), pa.int64()), pa.array(more)
+        closed = [pa.array(x) for x in numbers] + [pa.array(np.zeros(len(of), dtype=bool)), *[pa.nulls(len(of), pa.list_(pa.int32()))] * 2]
+        still = [pa.array(doc[more]), none, none, pa.array(other[more]), *[none] * 4, pa.array(np.ones(len(more), dtype=bool)), *(b.column(c).take(i).cast(pa.list_(pa.int32())) for c in "pr")]
+        return pa.record_batch([pa.concat_arrays([x, y]) for x, y in zip(closed, still, strict=True)], [*_PASSAGE, "open", "p", "r"])
 
     schema = ", ".join(f"{c} long" for c in _PASSAGE) + ", open boolean, p array<int>, r array<int>"
-    out = stored(pairs.select(*taken).mapInArrow(run, schema), "aligned")
+    out, _ = stored(pairs.select(*taken).mapInArrow(run, schema), "aligned")
     remove_path(docs.sparkSession, path)
     return out
 
 
 def cut_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` without the passages that :func:`repeated_passages` found: each stays in the first
-    document that holds it. Rows left without a word go; n_chars, if there is one, follows."""
-    spans = found.select(F.col("doc_id").alias("_id"), F.struct("start", "end").alias("s")).groupBy("_id").agg(F.collect_set("s").alias("_spans"))
+    document that holds it. Rows left without a word go; n_chars, if there is one, follows. Rows
+    without passages, also those with a null doc_id or text, stay as they are; most of them are not
+    even shuffled. Extra columns are kept, whatever their names; an empty table gives an empty result."""
+    key, spans_, some, new = (fresh(docs, x) for x in ("_id", "_spans", "_some", "_text"))
+    spans = found.select(F.col("doc_id").alias(key), F.struct("start", "end").alias("s")).groupBy(key).agg(F.collect_set("s").alias(spans_))
+    marked = likely(docs.withColumn(key, F.col("doc_id").cast("long")), key, found.select("doc_id"), some)
 
     @F.pandas_udf("string")
     def without(texts, spans):
@@ -443,12 +578,14 @@ def cut_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
 
         return pd.Series([remove(t, s) if t is not None and s is not None else t for t, s in zip(texts, spans, strict=True)])
 
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    # only the rows with passages go through Python
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without("text", "_spans"))
-    columns = {"text": F.col("_text"), "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("_text").cast("long")) if "n_chars" in docs.columns else None}
-    out = joined.withColumn("_text", new).where(F.col("_spans").isNull() | (F.trim("_text") != ""))
-    return out.select(*[columns[c].alias(c) if columns.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
+    joined = marked.where(F.col(some)).join(spans.hint("merge"), key, "left")
+    hit = F.col(spans_).isNotNull() & F.col("text").isNotNull()
+    joined = joined.withColumn(new, F.when(hit, without("text", spans_)).otherwise(F.col("text"))).where(~hit | (F.trim(new) != ""))
+    changed = {"text": F.col(new)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(hit, F.char_length(new).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    columns = [changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(~F.col(some)).select(*[F.col(f"`{c}`") for c in docs.columns]).union(joined.select(*columns))
 
 
 def remove(text: str, spans) -> str:
