@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from veilspark.llm import passages
+from veilspark.llm.decontaminate import overlap
 
 
 def table(seed=4, n=60):
@@ -134,8 +135,38 @@ def test_starts_miss_no_shared_window(seed):
 
 
 def test_remove():
-    assert passages.remove(" a é\tb  c d\n", [{"start": 1, "end": 3}]) == " a c d\n"
-    assert passages.remove("a b a b", [{"start": 2, "end": 4}, {"start": 3, "end": 9}]) == "a b "
+    cut = lambda text, *spans: passages.remove(text.encode(), np.array([a for a, _ in spans]), np.array([b for _, b in spans])).decode()
+    assert cut(" a é\tb  c d\n", (1, 3)) == " a c d\n"
+    assert cut("a b a b", (2, 4), (3, 9)) == "a b "
+    assert cut("a b c", (1, 2), (0, 1)) == "c" and cut("", (0, 3)) == "" and cut(" \n", (0, 3)) == " \n"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_against_one_by_one(seed):
+    rnd = np.random.default_rng(seed)
+    parts = [rnd.random(n) < share for n, share in zip(rnd.integers(0, 200, 60), rnd.random(60), strict=True)]
+    edges = np.r_[0, np.cumsum([len(x) for x in parts])]
+    got = list(zip(*(x.tolist() for x in passages.runs(np.concatenate(parts), edges, 12)), strict=True))
+    want = []
+    for k, same in enumerate(parts):
+        todo = [(0, len(same))]
+        while todo:
+            low, high = todo.pop()
+            a, b = overlap(same[low:high])
+            if b > a:
+                want += [(k, int(edges[k]) + low + a, int(edges[k]) + low + b)] * (b - a >= 12)
+                todo += [(low, low + a), (low + b, high)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_uncovered_against_sets(seed):
+    rnd = np.random.default_rng(seed)
+    spans = [(int(r), int(b), int(b + n)) for r, b, n in zip(rnd.integers(0, 5, 30), rnd.integers(0, 900, 30), rnd.integers(1, 200, 30), strict=True)]
+    held = [{i for r, b, e in spans if r == row for i in range(b, e)} for row in range(6)]
+    row, at = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(0, 1000, 7)))
+    got = passages.uncovered(row, at, passages.union(*map(np.array, zip(*spans, strict=True))), 50)
+    assert got.tolist() == [not held[r] >= set(range(a, a + 50)) for r, a in zip(row.tolist(), at.tolist(), strict=True)]
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 30])
@@ -161,3 +192,13 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     found = passages.repeated_passages(df)
     assert found.count() == 0 and passages.cut_passages(df, found).count() == 0
+
+
+def test_odd_rows_are_cut(spark):
+    rnd = random.Random(7)
+    shared = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    rows = [(1, f"a {shared}", 1, "x"), (2, f"b {shared} c", 2, None), (2, f"b {shared} c", 2, None), (None, shared, None, "y"), (3, None, 3, "z"), (4, "", 4, "z"), (5, shared, 5, "z"), (6, f"long {shared} " + "tail " * 200_000, 6, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, _spans int, _id string")
+    out = [tuple(r) for r in passages.cut_passages(df, passages.repeated_passages(df)).collect()]
+    assert sorted(map(str, (r for r in out if r[0] != 6))) == sorted(map(str, [rows[0], (2, "b c", 2, None), (2, "b c", 2, None), *rows[3:6]]))
+    assert [r[1].split()[0] for r in out if r[0] == 6] == ["long"] and shared not in [r[1] for r in out if r[0] == 6][0]

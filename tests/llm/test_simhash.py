@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -107,3 +109,78 @@ def test_keep_one_of_repeated_ids_with_different_texts(spark):
 def test_odd_distance_is_refused(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
+
+
+def shingles(text, n=5):
+    words = (text or "").lower().split()
+    return Counter(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else Counter()
+
+
+def jaccard(a, b):
+    x, y = shingles(a), shingles(b)
+    return sum((x & y).values()) / max(1, sum((x | y).values()))
+
+
+def test_keep_one_by_similarity(spark):
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(3000)}"
+    rows, pairs = [], []
+    for i in range(400):
+        words = [word() for _ in range(rnd.choice([40, 100, 300, 900]))]
+        other = list(words)
+        for _ in range(rnd.randrange(1, 2 + len(words) // (10 if i % 4 == 0 else 40))):
+            other[rnd.randrange(len(other))] = word()
+        rows += [(2 * i, " ".join(words), "x"), (2 * i + 1, " ".join(other), "y")]
+        pairs.append((2 * i + 1, jaccard(rows[-2][1], rows[-1][1])))
+    rows += [(5000 + i, t, "z") for i, t in enumerate(["one", "one ", "two", "one two three", "one two three four", "one two three four five"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, w1 string")
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert all(2 * i in kept for i in range(400))
+    close, alike, apart = ([d not in kept for d, j in pairs if low <= j < high] for low, high in ((0.9, 1.1), (0.8, 0.9), (0, 0.72)))
+    assert len(close) > 50 and all(close)
+    assert len(alike) > 50 and sum(alike) >= 0.9 * len(alike)
+    assert len(apart) > 20 and not any(apart)
+    assert kept & set(range(5000, 5006)) == {5000, 5002, 5003, 5004, 5005}
+
+
+def test_wide_bits_against_plain():
+    rnd = np.random.default_rng(3)
+    sizes = np.array([0, 1, 2, 300, 0, 255, 256])
+    h = rnd.integers(0, 1 << 63, int(sizes.sum())).astype(np.uint64)
+    got = np.unpackbits(simhash.majorities(h, sizes), axis=1, bitorder="little")
+    at = 0
+    for row, n in zip(got, sizes.tolist(), strict=True):
+        for j, factor in enumerate(simhash.multipliers(8, 21)):
+            x = simhash.scramble((h[at : at + n] ^ (h[at : at + n] >> np.uint64(32))) * factor)
+            want = [2 * sum(int(v) >> b & 1 for v in x) > n for b in range(64)]
+            assert row[64 * j : 64 * j + 64].astype(bool).tolist() == want
+        at += n
+
+
+@pytest.mark.parametrize("size", [2, 16, 17, 300])
+def test_meetings(size):
+    rnd = np.random.default_rng(size)
+    bits = np.uint64(1) << rnd.integers(0, 64, (size, 5)).astype(np.uint64)
+    cluster = np.unique(np.bitwise_xor.reduce(bits, axis=1) ^ np.uint64(0x0F0F00FF12345678))
+    far = rnd.integers(0, 1 << 63, 3).astype(np.uint64)
+    keys = np.r_[np.full(len(cluster) + 3, -7), [1, 1, 5]]
+    pairs = simhash.meetings(keys, np.r_[cluster, far, cluster[0], cluster[0] ^ np.uint64(3), far[0]], 20, {}).tolist()
+    assert sorted([int(cluster[0]), int(cluster[0]) ^ 3]) in pairs
+    root = {int(x): int(x) for x in np.r_[cluster, far]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        assert (a ^ b).bit_count() <= 20 and a < b
+        if a in root and b in root:
+            root[find(a)] = find(b)
+    assert len({find(int(x)) for x in cluster}) == 1
+    assert size <= 16 or len(pairs) < 6 * size
+    parts, leaders = [], {}  # a bucket in parts
+    for i in range(0, len(cluster), 7):
+        parts += simhash.meetings(np.full(len(cluster[i : i + 7]), 4), cluster[i : i + 7], 20, leaders).tolist()
+        leaders.setdefault(4, np.empty(0, np.uint64))
+    assert size > 16 or size == 2 or parts

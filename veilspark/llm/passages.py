@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh, likely, remove_path, stored
 from .words import gram_hashes, hashed, portions, sliding, stretch_hashes
@@ -423,9 +424,12 @@ def _matches(found: DataFrame) -> tuple[DataFrame, str]:
     """Rows (h, doc, pos) with the first holder (other, other_pos) of their hash, if it is an earlier
     document, and the path of the table of first holders. As a table of its own it leaves the join
     free to split a hash that very many documents hold."""
-    first = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max("doc").alias("last")).where("f.doc < last")
-    first, path = stored(first.select("h", F.col("f.doc").alias("other"), F.col("f.pos").alias("other_pos")), "first")
-    return found.join(first, "h").where("doc > other"), path
+    # document and place as one number: a minimum of structs would sort all seeds
+    place = F.col("doc").cast("decimal(20,0)") * _ROW + F.col("pos")
+    first = found.groupBy("h").agg(F.min(place).alias("f"), F.max("doc").alias("last"))
+    first = first.withColumn("other_pos", F.pmod("f", F.lit(_ROW)).cast("int")).withColumn("other", ((F.col("f") - F.col("other_pos")) / _ROW).cast("long"))
+    first, path = stored(first.where("other < last").select("h", "other", "other_pos"), "first")
+    return found.join(first.hint("shuffle_hash"), "h").where("doc > other"), path
 
 
 def _passages(docs: DataFrame, made: DataFrame, path: str | None, least: int) -> DataFrame:
@@ -518,8 +522,12 @@ def _aligned(docs: DataFrame, made: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                yield solve(batch.slice(at, 2000))
+            # windows may be long: so many rows at once that they hold about a million words
+            words = np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy().astype(np.int64) for c in "ab") // 4)
+            edges = np.r_[0, np.flatnonzero(np.diff(words >> 20)) + 1, len(batch)]
+            for at, to in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if to > at:
+                    yield solve(batch.slice(at, to - at))
 
     def solve(b):
         doc, other, lo, hi, other_lo, other_hi = (b.column(c).to_numpy().astype(np.int64) for c in taken[:6])
@@ -569,38 +577,40 @@ def cut_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     without passages, also those with a null doc_id or text, stay as they are; most of them are not
     even shuffled. Extra columns are kept, whatever their names; an empty table gives an empty result."""
     key, spans_, some, new = (fresh(docs, x) for x in ("_id", "_spans", "_some", "_text"))
+    kept = docs.columns
     spans = found.select(F.col("doc_id").alias(key), F.struct("start", "end").alias("s")).groupBy(key).agg(F.collect_set("s").alias(spans_))
     marked = likely(docs.withColumn(key, F.col("doc_id").cast("long")), key, found.select("doc_id"), some)
 
-    @F.pandas_udf("string")
-    def without(texts, spans):
-        import pandas as pd
-
-        return pd.Series([remove(t, s) if t is not None and s is not None else t for t, s in zip(texts, spans, strict=True)])
-
-    joined = marked.where(F.col(some)).join(spans.hint("merge"), key, "left")
-    hit = F.col(spans_).isNotNull() & F.col("text").isNotNull()
-    joined = joined.withColumn(new, F.when(hit, without("text", spans_)).otherwise(F.col("text"))).where(~hit | (F.trim(new) != ""))
-    changed = {"text": F.col(new)}
+    def run(batches):
+        for b in batches:
+            at, cut = _flat(b.column(spans_))
+            begin, end = (cut.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+            edges = np.searchsorted(at, np.arange(len(b) + 1)).tolist()
+            texts = []
+            for i, text in enumerate(b.column("text").cast(pa.binary())):
+                own = slice(edges[i], edges[i + 1])
+                texts.append(remove(text.as_py(), begin[own], end[own]) if text.is_valid and edges[i] < edges[i + 1] else None)
+            yield pa.record_batch([*(b.column(c) for c in kept), pa.array(texts, pa.binary()).cast(pa.string())], [*kept, new])
+
+    joined = marked.where(F.col(some)).join(spans.hint("merge"), key, "left").drop(key, some)
+    joined = joined.mapInArrow(run, T.StructType([*docs.schema]).add(new, "string"))
+    hit = F.col(new).isNotNull()
+    changed = {"text": F.coalesce(new, "text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(hit, F.char_length(new).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    columns = [changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns]
-    return marked.where(~F.col(some)).select(*[F.col(f"`{c}`") for c in docs.columns]).union(joined.select(*columns))
-
-
-def remove(text: str, spans) -> str:
-    """``text`` without the words in the [start, end) of ``spans``, and the white space after them."""
-    data = text.encode()
-    ends, at, places = [], 0, []
-    for word in data.split():
-        at = data.index(word, at)
-        places.append(at)
-        at += len(word)
-        ends.append(at)
+    left = joined.where(~hit | (F.trim(new) != "")).select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    return marked.where(~F.col(some)).select(*[F.col(f"`{c}`") for c in docs.columns]).union(left)
+
+
+def remove(text: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
+    """``text`` without the words from each ``begin`` up to its ``end``, and the white space after them."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    space = (data == 32) | (data >= 9) & (data <= 13)
+    places = np.flatnonzero(~space & np.r_[np.ones(min(1, len(data)), dtype=bool), space[:-1]])
+    places = np.r_[places, len(text)]
     out, done = [], 0
-    for s in sorted((int(s["start"]), int(s["end"])) for s in spans):
-        begin = places[s[0]] if s[0] < len(places) else len(data)
-        end = places[s[1]] if s[1] < len(places) else len(data)
-        out.append(data[done : max(done, begin)])
-        done = max(done, end)
-    return b"".join([*out, data[done:]]).decode()
+    for i in np.argsort(begin, kind="stable").tolist():
+        low, high = (int(places[min(int(x), len(places) - 1)]) for x in (begin[i], end[i]))
+        out.append(text[done : max(done, low)])
+        done = max(done, high)
+    return b"".join([*out, text[done:]])

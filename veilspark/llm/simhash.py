@@ -11,22 +11,37 @@ of the 2081 that the ball of radius two around all 64 bits holds (``blocks=1`` e
 Groups. Equal fingerprints are one node, so copies never meet as pairs. A bucket of up to
 ``dense`` nodes is solved where it is: of the links inside it, a spanning forest is kept. The nodes of larger buckets emit the whole ball of radius two; any two nodes at
 one of its points are at most four bits apart, so a star there needs no pairs and loses no link.
+
+Similarity. Texts whose shingles have a Jaccard similarity of 0.8 differ in 15 % of their bits, ten of
+64, and no ball of that radius can be emitted. :func:`keep_one` therefore takes 448 more bits, 14 words
+of 32, and hashes balls in 28 bits of each: a fingerprint emits all variants of each word within
+half of radius two, so similar texts meet in at least one word (94 % of those of 0.8, 99 % of those of
+0.85). What meets is verified on all 512 bits, and by the shingles themselves if that estimate
+is within 2.5 standard errors of the bar.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut
+from .common import components, cut, fresh, likely, stored
+from .words import gram_hashes, hashed, multipliers, portions, scramble
 
 BITS = 64
+_MORE = 7  # words of 64 bits in a wide fingerprint, besides the fingerprint
+_KEY = 28  # bits of each 32 of those that are looked up
+_ALL = 16  # buckets up to this size compare each with each
+#: A byte as a number whose bytes are the byte's bits.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -199,43 +214,262 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks
     non-null doc_id (null if there is none). An empty table gives an empty result.
     """
     base = cut(fingerprints(docs, shingle))
-    classes = _classes(base, distance, blocks)
+    nodes = cut(base.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = _classes(nodes, links(nodes, distance, blocks))
     return base.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _classes(base: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """(fp, component_id, root) of each distinct fingerprint."""
-    nodes = cut(base.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes, distance, blocks))
+def _classes(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(fp, component_id, root) of each distinct fingerprint (fp, least)."""
+    roots = components(linked)
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a table of its own leaves the join free to split a large component
+    smallest = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
     return named.join(smallest, "root").select("fp", "component_id", "root")
 
 
-def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 3) -> DataFrame:
-    """One row of each component of :func:`near_duplicates`, whole: the one with its smallest
-    doc_id, of several such rows any; any row, if none has an id."""
-    base = cut(fingerprints(docs, shingle))
-    classes = cut(_classes(base, distance, blocks))
-    first = classes.where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_keep"], "left_semi")
-    again = base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    repeated = not again.isEmpty()
-    if repeated or not base.where("doc_id is null").isEmpty():
-        column = "_fp"
+# --- by similarity ---------------------------------------------------------------------------
+
+
+def majorities(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each text a row of 8 + 8 x _MORE bytes: the bits set in over half of its shingles, for
+    independent 64-bit hashes made of each shingle's hash. ``sizes``: how many of ``h`` are each text's."""
+    out = np.zeros((len(sizes), 8 * (1 + _MORE)), dtype=np.uint8)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return out
+    n = sizes[some]
+    parts = -(-n // 255)  # sums of up to 255 bits fit a byte
+    first = np.cumsum(parts) - parts
+    begin = np.repeat(np.cumsum(n) - n, parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(first, parts))
+    for j, factor in enumerate(multipliers(1 + _MORE, 21)):
+        octets = scramble((h ^ (h >> np.uint64(32))) * factor).view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            sums = np.add.reduceat(_LANES[octets[:, k]], begin).view(np.uint8).reshape(-1, 8)
+            counts = np.add.reduceat(sums.astype(np.int64), first, axis=0)
+            out[some, 8 * j + k] = np.packbits(2 * counts > n[:, None], axis=1, bitorder="little")[:, 0]
+    return out
+
+
+def _grams(words: np.ndarray, edges: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each text's shingles (the whole of a text that is shorter), end to end, and how many they are."""
+    n = np.diff(edges)
+    sizes = np.where(n < shingle, np.minimum(n, 1), n - shingle + 1)
+    row = np.repeat(np.arange(len(n)), sizes)
+    at = edges[row] + np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+    grams = gram_hashes(words, list(range(shingle)))
+    h = grams[np.minimum(at, len(grams) - 1)] if len(grams) else np.zeros(len(row), dtype=np.uint64)
+    for i in np.flatnonzero(n[row] < shingle).tolist():
+        whole = words[edges[row[i]] : edges[row[i] + 1]]
+        h[i] = gram_hashes(whole, list(range(len(whole))), 4)[0]
+    return h, sizes
+
+
+def _split(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
+def wide_bits(texts: list[bytes], shingle: int) -> np.ndarray:
+    """The rows of :func:`majorities` for texts in UTF-8, with the words and shingles of
+    :func:`fingerprint`; no words: all bits zero."""
+    return majorities(*_grams(*hashed(texts, _split), shingle))
+
+
+def wide_fingerprints(docs: DataFrame, keep: list[str], shingle: int = 5) -> DataFrame:
+    """The columns ``keep`` of each row, a fingerprint of 64 bits (fp) and 448 more (w1 .. w7); names
+    that clash get an underscore in front."""
+    names = ["fp", *(f"w{i + 1}" for i in range(_MORE))]
+    own = [fresh(docs, c) for c in names]
+
+    def run(batches):
+        for b in batches:
+            bits = [wide_bits(texts, shingle) for _, texts in portions(b.column("text"))]
+            numbers = np.concatenate(bits).view("<i8") if bits else np.empty((0, len(names)), dtype=np.int64)
+            yield pa.record_batch([*(b.column(c) for c in keep), *(pa.array(np.ascontiguousarray(numbers[:, i])) for i in range(len(names)))], [*keep, *own])
 
-        def run(batches):
-            for b in batches:
-                fps = [fingerprint(t.as_py() or b"", shingle) for t in b.column("text").cast(pa.binary())]
-                yield b.append_column(column, pa.array(np.array(fps, np.uint64).view(np.int64)))
+    rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
+    schema = T.StructType([f for f in rows.schema if f.name in keep])
+    for c in own:
+        schema = schema.add(c, "long")
+    return rows.mapInArrow(run, schema)
 
+
+def differing(similarity: float) -> float:
+    """The share of fingerprint bits in which texts of a Jaccard similarity differ: their shingle
+    counts have the cosine 2J / (1 + J) if the texts are equally long, a smaller one if not."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _word_variants(nodes: DataFrame) -> DataFrame:
+    """(key, fp): for each of the 14 words of a node all variants of its key bits within one flip."""
+    flips = np.r_[0, 1 << np.arange(_KEY)].astype(np.uint32)
+    tags = np.arange(2 * _MORE, dtype=np.uint32) << np.uint32(_KEY)
+
+    def run(batches):
+        for b in batches:
+            fps = b.column("fp").to_numpy()
+            words = np.stack([b.column(f"w{i + 1}").to_numpy() for i in range(_MORE)], axis=1).view("<u4")
+            for at in range(0, len(fps), 250):
+                part = words[at : at + 250] & np.uint32((1 << _KEY) - 1) | tags
+                keys = (part[:, :, None] ^ flips).reshape(len(part), -1)
+                yield pa.record_batch([pa.array(keys.ravel().view(np.int32)), pa.array(np.repeat(fps[at : at + 250], keys.shape[1]))], ["key", "fp"])
+
+    return nodes.mapInArrow(run, "key int, fp long")
+
+
+def meetings(keys: np.ndarray, fps: np.ndarray, near: int, leaders: dict[int, np.ndarray]) -> np.ndarray:
+    """Pairs (rows of two) of fingerprints under equal keys, ascending, that differ in at most ``near`` bits: all of
+    a bucket of up to _ALL; in a larger one each fingerprint with those of the bucket's leaders that
+    are near, each being near one or a leader itself. ``leaders``: those of a bucket whose part this is."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=np.int64)
+    sizes = np.diff(np.r_[starts, len(keys)])
+    whole = np.array([int(k) not in leaders for k in keys[starts]], dtype=bool) if leaders else np.ones(len(starts), dtype=bool)
+    out = [np.empty((0, 2), dtype=np.uint64)]
+
+    def add(x, y):
+        ok = np.bitwise_count(x ^ y) <= near
+        out.append(np.stack([np.minimum(x, y)[ok], np.maximum(x, y)[ok]], axis=1))
+
+    for size in range(2, _ALL + 1):
+        at = starts[whole & (sizes == size)]
+        if len(at):
+            members = fps[at[:, None] + np.arange(size)]
+            for i in range(size):
+                for j in range(i):
+                    add(members[:, i], members[:, j])
+    for s, n in zip(starts[~whole | (sizes > _ALL)].tolist(), sizes[~whole | (sizes > _ALL)].tolist(), strict=True):
+        bucket, known = fps[s : s + n], list(leaders.get(int(keys[s]), ()))
+        left = np.ones(n, dtype=bool)
+        while known or left.any():
+            leader = known.pop() if known else bucket[int(np.argmax(left))]
+            if leader in bucket[left]:
+                leaders[int(keys[s])] = np.r_[leaders.get(int(keys[s]), np.empty(0, np.uint64)), leader]
+            add(np.full(n, leader), bucket)
+            left &= np.bitwise_count(bucket ^ leader) > near
+    pairs = np.concatenate(out)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def similar(nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): pairs of the nodes (fp, least, digest, w1 .. w7) of that similarity, as many as
+    :func:`_word_variants` lets meet. ``docs``: the texts (doc_id, text) of the nodes, each under
+    its ``least`` and with the XXH64 ``digest``; a node without an id has only its bits."""
+    share = differing(similarity)
+    near = math.ceil(BITS * share + 3.6 * math.sqrt(BITS * share * (1 - share)))
+
+    def run(batches):
+        held_keys, held_fps, size, leaders = [], [], 0, {}
+
+        def solve(keys, fps):
+            pairs = meetings(keys, fps, near, leaders)
+            return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in range(2)], ["a", "b"])
+
+        for b in batches:
+            held_keys.append(b.column("key").to_numpy())
+            held_fps.append(b.column("fp").to_numpy().view(np.uint64))
+            size += len(b)
+            if size < 1 << 17:
+                continue
+            keys, fps = np.concatenate(held_keys), np.concatenate(held_fps)
+            last = int(np.searchsorted(keys, keys[-1]))  # sorted: the last key may go on
+            if last:
+                yield solve(keys[:last], fps[:last])
+                leaders.clear()
+                keys, fps = keys[last:], fps[last:]
+            if len(keys) > 1 << 16:  # a bucket too large to hold: its leaders stay
+                yield solve(keys, fps)
+                leaders.setdefault(int(keys[-1]), np.empty(0, np.uint64))
+                keys, fps = keys[:0], fps[:0]
+            held_keys, held_fps, size = [keys], [fps], len(keys)
+        if size:
+            yield solve(np.concatenate(held_keys), np.concatenate(held_fps))
+
+    met = _word_variants(nodes).repartition("key").sortWithinPartitions("key")
+    pairs = met.mapInArrow(run, "a long, b long").distinct()
+    words = [f"w{i + 1}" for i in range(_MORE)]
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("fp").alias(side), *[F.col(w).alias(f"{side}{w}") for w in words]), side)
+    apart = reduce(Column.__add__, [F.bit_count(F.col("a").bitwiseXOR(F.col("b"))), *[F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words]])
+    bits = BITS * (1 + _MORE)
+    error = 2.5 * math.sqrt(bits * share * (1 - share))
+    pairs = cut(pairs.select("a", "b", apart.alias("apart")).where(F.col("apart") <= bits * share + error))
+    close = F.col("apart") <= bits * share - error
+    named = nodes.select("fp", F.col("least").isNull().alias("bare"))
+    unsure = pairs.where(~close)
+    for side in "ab":
+        unsure = unsure.join(named.select(F.col("fp").alias(side), F.col("bare").alias(f"bare_{side}")), side)
+    bare = F.col("bare_a") | F.col("bare_b")
+    told = unsure.where(bare & (F.col("apart") <= bits * share)).select("a", "b")
+    return pairs.where(close).select("a", "b").union(told).union(_verified(unsure.where(~bare).select("a", "b"), nodes, docs, similarity, shingle))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs whose texts' shingles, repeats counted, have that Jaccard similarity or a larger one."""
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    wanted = cut(wanted.join(nodes.select("fp", "least", "digest"), "fp"))
+    texts = docs.select(F.col("doc_id").alias("least"), "text", F.xxhash64("text").alias("digest"))
+    some = likely(texts, "least", wanted.select("least"), "some").where("some").drop("some")
+    some = some.join(wanted.hint("merge"), ["least", "digest"]).select("fp", "text")
+
+    def grams(batches):
+        for b in batches:
+            for first, texts in portions(b.column("text")):
+                h, sizes = _grams(*hashed(texts, _split), shingle)
+                ends = np.cumsum(sizes)
+                lists = [np.sort((h[e - n : e] >> np.uint64(32)).astype("<u4")).tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                yield pa.record_batch([b.column("fp").slice(first, len(texts)), pa.array(lists, pa.binary())], ["fp", "grams"])
+
+    held, _ = stored(some.mapInArrow(grams, "fp long, grams binary"), "grams")
+    met = pairs
+    for side in "ab":
+        met = met.join(held.select(F.col("fp").alias(side), F.col("grams").alias(f"grams_{side}")), side)
+
+    def alike(x, y):
+        x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+        if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+            return False
+        (x, m), (y, n) = (np.unique(z, return_counts=True) for z in (x, y))
+        _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        shared = int(np.minimum(m[i], n[j]).sum())
+        return shared >= similarity * (int(m.sum() + n.sum()) - shared)
+
+    def run(batches):
+        for b in batches:
+            ok = [alike(x, y) for x, y in zip(b.column("grams_a").to_pylist(), b.column("grams_b").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return met.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """One row of each group of near-duplicates, whole: the one with its smallest doc_id, of several
+    such rows any; any row, if none has an id. Groups are connected by links of ``similarity``
+    (Jaccard) over shingles of ``shingle`` words with repeats, see :func:`similar`; texts without words are one group, as are texts of
+    equal fingerprints. Extra columns are kept; an empty table gives an empty result. Rows that stay
+    are not shuffled, but for a few."""
+    words = [f"w{i + 1}" for i in range(_MORE)]
+    base = cut(wide_fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")), ["doc_id", "digest"], shingle))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest")))
+    nodes = base.groupBy("fp").agg(first.alias("first"), F.min(F.struct(*words)).alias("w"))
+    nodes = cut(nodes.select("fp", F.col("first.doc_id").alias("least"), "first.digest", *[F.col(f"w.{w}").alias(w) for w in words]))
+    classes = cut(_classes(nodes.select("fp", "least"), similar(nodes, docs, similarity, shingle)))
+    again = base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = base.join(classes, "fp").where("doc_id <> component_id").select("doc_id").union(again)
+    gone = cut(gone.distinct())
+    some, gone_id = fresh(docs, "_some"), fresh(docs, "_gone")
+    marked = likely(docs.where("doc_id is not null"), "doc_id", gone, some)
+    few = marked.where(F.col(some)).join(gone.withColumnRenamed("doc_id", gone_id).hint("merge"), F.col("doc_id") == F.col(gone_id), "left_anti")
+    kept = marked.where(~F.col(some)).union(few).drop(some)
+    repeated = not again.isEmpty()
+    if repeated or not base.where("doc_id is null").isEmpty():
         # an id that is missing or repeated does not tell a row's component
         loose = docs.where("doc_id is null")
         if repeated:
-            kept = kept.join(again, kept["doc_id"] == again["_again"], "left_anti")
-            loose = loose.union(docs.join(again, docs["doc_id"] == again["_again"], "left_semi"))
-        loose = loose.mapInArrow(run, T.StructType([*loose.schema]).add(column, "long"))
-        own = classes.select(F.col("fp").alias(column), F.col("component_id").alias("_least"), F.col("root").alias("_root"))
-        first = loose.join(own, column).where(F.col("doc_id").eqNullSafe(F.col("_least")))
-        kept = kept.union(first.dropDuplicates(["_root"]).select(*docs.columns))
+            twice = again.withColumnRenamed("doc_id", gone_id)
+            loose = loose.union(docs.join(twice, F.col("doc_id") == F.col(gone_id), "left_semi"))
+        fp, least, root = (fresh(docs, x) for x in ("fp", "_least", "_root"))
+        loose = wide_fingerprints(loose, docs.columns, shingle)
+        own = classes.select(F.col("fp").alias(fp), F.col("component_id").alias(least), F.col("root").alias(root))
+        first = loose.join(own, fp).where(F.col("doc_id").eqNullSafe(F.col(least)))
+        kept = kept.union(first.dropDuplicates([root]).select(*[F.col(f"`{c}`") for c in docs.columns]))
     return kept
