@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 64
+#: Tables of keys are broadcast up to this size.
+BROADCAST_BYTES = 64 << 20
+_ROW_BYTES = 512  # a key row: an id, a key, two pads in hex
+_SALTS = 32
 KEYS = "session_id string, k_enc binary, prk_inner string, prk_outer string"
 
 
@@ -45,6 +49,20 @@ def key_table(spark: SparkSession, roots: dict[str, bytes]) -> DataFrame:
     return spark.createDataFrame(rows, KEYS)
 
 
+def with_keys(df: DataFrame, keys: DataFrame, *columns: str, on: str = "session_id", spread: str = "doc_id") -> DataFrame:
+    """``df`` with ``columns`` of the key row of its ``on``; rows without a key row drop out.
+
+    The key rows are counted first. Up to BROADCAST_BYTES they are broadcast, so ``df`` is neither
+    shuffled nor sent. Beyond, both sides are joined by key and salt (the hash of the column
+    ``spread``), so one session's rows are many tasks.
+    """
+    small = keys.select(on, *columns)
+    if small.limit(BROADCAST_BYTES // _ROW_BYTES + 1).count() <= BROADCAST_BYTES // _ROW_BYTES:
+        return df.join(F.broadcast(small), on)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(_SALTS)).cast("int")).join(salted, [on, "_salt"]).drop("_salt")
+
+
 def hmac_hex(inner: Column, outer: Column, message: Column) -> Column:
     """HMAC-SHA256 in hex, of a message in hex, under a key given by its pads in hex."""
     return F.sha2(F.unhex(F.concat(outer, F.sha2(F.unhex(F.concat(inner, message)), 256))), 256)

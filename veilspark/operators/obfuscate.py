@@ -1,5 +1,6 @@
 """The outbound core: detect, resolve, propagate, cluster, route, replace. All of it is row-local
-expressions, so it neither shuffles nor differs between batch and stream."""
+expressions and a join with the sessions' keys, broadcast as long as they are small: documents are
+not shuffled, and batch and stream do not differ."""
 
 from __future__ import annotations
 
@@ -21,6 +22,13 @@ PLAN = (
 )
 
 
+def over_cores(scan: DataFrame) -> DataFrame:
+    """A table just read, dealt to all cores if it has fewer parts than there are: detection costs far
+    more than the deal. Large tables have more parts and stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def with_entities(df: DataFrame, detector: Detector | None = None) -> DataFrame:
     """``df`` (text) with ``entities``: disjoint spans with clusters, sorted by start."""
     df, text = with_text(df)
@@ -84,7 +92,7 @@ def obfuscate(df: DataFrame, keys: DataFrame, policy: Policy | None = None, dete
     out = with_entities(df, detector)
     out = out.withColumn("patient_age", patient_age(F.col("entities")))
     out = out.withColumn("route_to_human", F.coalesce(F.col("patient_age") <= policy.pediatric_age, F.lit(False)))
-    out = crypto.with_document_pads(out.join(keys.select("session_id", "prk_inner", "prk_outer"), "session_id"))
+    out = crypto.with_document_pads(crypto.with_keys(out, keys, "prk_inner", "prk_outer"))
     out = _with_plan(out, policy, strategies or STRATEGIES).drop("prk_inner", "prk_outer", "doc_inner", "doc_outer")
     hidden = F.array_distinct(F.flatten(F.transform(F.col("plan"), lambda p: F.array(p["original"], p["canonical"]))))
     return out.select(
@@ -97,6 +105,6 @@ def obfuscate(df: DataFrame, keys: DataFrame, policy: Policy | None = None, dete
 
 
 def entity_counts(df: DataFrame, by: list[str]) -> DataFrame:
-    """Entities of each type per group of documents."""
+    """Entities of each type per group of documents, sorted by group and type."""
     rows = exploded(df, "entities", "e", *by)
-    return rows.groupBy(*by, F.col("e.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(*by, F.col("e.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n")).orderBy(*by, "entity_type")

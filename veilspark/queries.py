@@ -17,7 +17,7 @@ from .functions import crypto
 from .functions.text import exploded, matches, plain
 from .operators import detect, outbound, strategies
 from .operators.names import with_clusters
-from .operators.obfuscate import entity_counts, obfuscate, with_entities
+from .operators.obfuscate import entity_counts, obfuscate, over_cores, with_entities
 from .operators.resolve import resolve
 from .operators.restore import leak_scan, restore
 from .plans import audit, vault
@@ -142,7 +142,10 @@ _EDGE = r"(?:^|[^\p{L}\p{N}_])"
 query(_extracted(_EDGE + r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"), "detect_email")(_in_documents("email"))
 query(_extracted(_EDGE + rf"((?:{vocab.OCTET}\.){{3}}{vocab.OCTET})"), "detect_ipv4")(_in_documents("ipv4"))
 query(_extracted(r"((?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4})"), "detect_phone")(_in_documents("phone"))
-query(_extracted(_EDGE + r"((?:\d[ -]?){15,16})"), "detect_card")(_in_documents("credit_card"))
+# here the edge may not eat the blank that ends the number before, so \\b serves, on a text in which all
+# letters and numbers of other scripts are an x and all else outside ASCII a full stop
+_CARD = _extracted(r"\b(?:\d[ -]?){15,16}\b", 0).replace("FROM documents", "FROM (SELECT regexp_replace(regexp_replace(regexp_replace(text, '[\\p{No}\\p{Nl}]', 'x', 'g'), '[\\p{L}]', 'x', 'g'), '[^\\x00-\\x7F]', '.', 'g') AS text FROM documents)")
+query(_CARD, "detect_card")(_in_documents("credit_card"))
 
 
 @query("SELECT doc_id, count(*) AS n, sum(length(v)) AS chars FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS v FROM documents) WHERE length(v) >= 5 OR (v LIKE '0%' AND length(v) >= 3) GROUP BY doc_id")
@@ -264,22 +267,25 @@ def _duck_token(tag: str, value: str) -> str:
 def hmac_digest(spark, sf_dir):
     """Digests and tokens under the keys of documents."""
     rows = read(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "CAST(c_custkey % 7 AS STRING) AS doc_id", f"'{SESSION}' AS session_id")
-    keyed = crypto.with_document_pads(rows.join(keys(spark), "session_id"))
+    keyed = crypto.with_document_pads(crypto.with_keys(rows, keys(spark), "prk_inner", "prk_outer"))
     digest = crypto.digest(F.col("c_name"))
     return keyed.select("c_custkey", digest.alias("digest"), crypto.token(F.lit("NAME"), digest).alias("token"))
 
 
-@query("SELECT 200 AS values_n, 200 AS per_document, 0 AS shared")
+@query("SELECT CAST(count(*) AS INT) AS values_n, CAST(count(DISTINCT c_custkey) AS INT) AS per_document, 0 AS shared, 0 AS across FROM customer")
 def tokens_deterministic(spark, sf_dir):
-    """One value in two documents: the same token each time in one, another in the other."""
-    base = spark.range(200).selectExpr("CAST(id AS STRING) AS v", f"'{SESSION}' AS session_id").join(keys(spark), "session_id")
-
-    def of(doc):
-        keyed = crypto.with_document_pads(base.withColumn("doc_id", F.lit(doc)))
-        return keyed.select("v", crypto.token(F.lit("SSN"), crypto.digest(F.col("v"))).alias(f"t_{doc}"))
-
-    both = of("a").join(of("b"), "v")
-    return both.agg(F.count(F.lit(1)).cast("int").alias("values_n"), F.countDistinct("t_a").cast("int").alias("per_document"), F.sum((F.col("t_a") == F.col("t_b")).cast("int")).cast("int").alias("shared"))
+    """The tokens of all customers' numbers in two documents and two sessions: one for each value in
+    each, and none that two share."""
+    two = crypto.key_table(spark, {SESSION: _ROOT, "s2": b"\x12" * 32})
+    places = [("a", SESSION), ("b", SESSION), ("c", "s2")]
+    made = None
+    for name, session in places:
+        rows = read(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS STRING) AS v", f"'{session}' AS session_id").withColumn("doc_id", F.lit("b" if name == "b" else "a"))
+        keyed = crypto.with_document_pads(crypto.with_keys(rows, two, "prk_inner", "prk_outer", spread="v"))
+        one = keyed.select("v", crypto.token(F.lit("SSN"), crypto.digest(F.col("v"))).alias(f"t_{name}"))
+        made = one if made is None else made.join(one, "v")
+    same = lambda x, y: F.sum((F.col(x) == F.col(y)).cast("int")).cast("int")
+    return made.agg(F.count(F.lit(1)).cast("int").alias("values_n"), F.countDistinct("t_a").cast("int").alias("per_document"), same("t_a", "t_b").alias("shared"), same("t_a", "t_c").alias("across"))
 
 
 # --- the outbound core -----------------------------------------------------------------------
@@ -291,7 +297,7 @@ _OUT = f"'Account No: ' || {_duck_token('ACCOUNT', 'acc')} || ' Email: ' || {_du
 
 
 def notes(spark: SparkSession, sf_dir: str, text: str = _NOTE) -> DataFrame:
-    return read(spark, sf_dir, "orders").selectExpr(f"'{SESSION}' AS session_id", "CAST(o_orderkey AS STRING) AS doc_id", f"{text} AS text")
+    return over_cores(read(spark, sf_dir, "orders").selectExpr(f"'{SESSION}' AS session_id", "CAST(o_orderkey AS STRING) AS doc_id", f"{text} AS text"))
 
 
 @query(f"WITH {_duck_digests('orders', 'doc_id', _NOTE_COLUMNS)} SELECT doc_id, {_OUT} AS obfuscated_text, 6 AS known FROM p", "obfuscate")
@@ -320,7 +326,11 @@ def _folder(spark: SparkSession, kind: str) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
@@ -337,7 +347,7 @@ def entity_count_query(spark, sf_dir):
 @query()
 def obfuscate_documents(spark, sf_dir):
     """All documents through the outbound core."""
-    rows = read(spark, sf_dir, "documents").select(F.lit(SESSION).alias("session_id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    rows = over_cores(read(spark, sf_dir, "documents").select(F.lit(SESSION).alias("session_id"), F.col("doc_id").cast("string").alias("doc_id"), "text"))
     out = obfuscate(rows, keys(spark))
     return out.select("doc_id", "obfuscated_text", F.size("entities").alias("entities"), F.size("known_originals").alias("known"))
 
@@ -346,7 +356,7 @@ def obfuscate_documents(spark, sf_dir):
 def leak_check(spark, sf_dir):
     """Known originals that obfuscated documents still hold, tokens aside: a value that is found by its
     surroundings in one place may stand without them in another. The gate blocks such documents."""
-    rows = read(spark, sf_dir, "documents").select(F.lit(SESSION).alias("session_id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    rows = over_cores(read(spark, sf_dir, "documents").select(F.lit(SESSION).alias("session_id"), F.col("doc_id").cast("string").alias("doc_id"), "text"))
     out = obfuscate(rows, keys(spark))
     bare = F.regexp_replace("obfuscated_text", vocab.TOKEN, " ")
     return out.select(F.size(outbound.leaks(bare, F.col("known_originals"))).alias("l")).agg(F.coalesce(F.sum(F.when(F.col("l") > 0, F.col("l")).otherwise(0)), F.lit(0)).cast("int").alias("leaks"), F.count(F.lit(1)).alias("documents"))
@@ -416,12 +426,13 @@ def vault_misses(spark, sf_dir):
 
 @query(f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, {_PLAIN_NOTE} AS restored, true AS changed FROM orders", "pseudonym_round_trip")
 def pseudonym_round_trip(spark, sf_dir):
-    """Pseudonyms in the place of e-mail addresses, restored."""
+    """Pseudonyms in the place of e-mail addresses, restored; sessions of eight documents each, so a
+    reply meets pseudonyms of others."""
     policy = Policy(overrides={"EMAIL": "PSEUDONYMIZE"})
-    few = read(spark, sf_dir, "orders").selectExpr("'s' || CAST(o_orderkey AS STRING) AS session_id", "CAST(o_orderkey AS STRING) AS doc_id", f"{_PLAIN_NOTE} AS text", f"{_EMAIL} AS mail")
+    few = over_cores(read(spark, sf_dir, "orders").selectExpr("'s' || CAST(o_orderkey % 32 AS STRING) || '-' || CAST(FLOOR(o_orderkey / 256) AS STRING) AS session_id", "CAST(o_orderkey AS STRING) AS doc_id", f"{_PLAIN_NOTE} AS text", f"{_EMAIL} AS mail"))
     _checkpoints(spark)
     inner = keys(spark).withColumnRenamed("session_id", "_s")
-    each = few.select("session_id").join(F.broadcast(inner), F.lit(SESSION) == F.col("_s")).drop("_s")  # one key row for all sessions of the test
+    each = few.select("session_id").distinct().join(F.broadcast(inner), F.lit(SESSION) == F.col("_s")).drop("_s").checkpoint()  # one key for all sessions of the test
     planned = obfuscate(few, each, policy).checkpoint()
     entries = vault.entries(planned, each).checkpoint()
     back = restore(planned.select("session_id", "doc_id", F.col("obfuscated_text").alias("reply"), "mail", "obfuscated_text"), vault.opened(entries, each), True)
@@ -472,12 +483,54 @@ def data_class_rollup(spark, sf_dir):
     return audit.summary(audit.events(obfuscate(notes(spark, sf_dir), keys(spark))))
 
 
-@query(f"WITH {_duck_digests('orders', 'doc_id', _NOTE_COLUMNS)} SELECT doc_id, '{{\"action\":\"TOKENIZE\",\"entity_type\":\"ACCOUNT\",\"policy_version\":\"v1\",\"ref\":\"' || substr({_duck_hmac('doc_inner', 'doc_outer', 'hex(encode(acc))')}, 1, 8) || '\",\"rule\":\"rule:account\",\"session_id\":\"{SESSION}\",\"token\":\"' || {_duck_token('ACCOUNT', 'acc')} || '\",\"ts\":0.0}}' AS value FROM p")
+def _duck_event(kind: str, act: str, rule: str, value: str, has_token: bool) -> str:
+    digest = _duck_hmac("doc_inner", "doc_outer", f"hex(encode({value}))")
+    token = f"'\"' || {_duck_token(kind, value)} || '\"'" if has_token else "'null'"
+    head = f'{{"action":"{act}","entity_type":"{kind}","policy_version":"v1","ref":"'
+    return f"SELECT '{head}' || substr({digest}, 1, 8) || '\",\"rule\":\"{rule}\",\"session_id\":\"{SESSION}\",\"token\":' || {token} || ',\"ts\":0.0}}' AS value FROM p"
+
+
+_EVENTS = [("ACCOUNT", "TOKENIZE", "rule:account", "acc", True), ("EMAIL", "TOKENIZE", "rule:email", "mail", True), ("EMAIL", "TOKENIZE", "rule:email", "mail", True), ("DOB", "GENERALIZE", "rule:dob", "dob", False), ("ADDRESS", "TOKENIZE", "rule:city_state", "'Denver'", True), ("ZIP", "GENERALIZE", "magnitude", "'80203'", False), ("GENERIC_ID", "TOKENIZE", "magnitude", "badge", True)]
+
+
+@query(f"WITH {_duck_digests('orders', 'doc_id', _NOTE_COLUMNS + f', {_DOB} AS dob')} " + " UNION ALL ".join(_duck_event(*e) for e in _EVENTS))
 def audit_events(spark, sf_dir):
-    """Events as JSON lines: types, actions and tokens, and no original."""
-    found = audit.events(obfuscate(notes(spark, sf_dir), keys(spark)), now=F.lit(0)).where("entity_type = 'ACCOUNT'")
-    lines = found.select("doc_id", F.to_json(F.struct(*audit.COLUMNS), {"ignoreNullFields": "false"}).alias("value"))
-    return lines
+    """All events as JSON lines, as they are appended to the trail: types, actions and tokens, and no
+    original."""
+    return audit.json_lines(audit.events(obfuscate(notes(spark, sf_dir), keys(spark)), now=F.lit(0)))
+
+
+_FIRST_ACCOUNT, _SECOND_ACCOUNT = _ACCOUNT, f"'X' || {num('o_custkey', 7)}"
+
+
+def _mocked(account: str) -> str:
+    return f"'[mock summary] Reviewed the de-identified record for ' || {account} || '. The task was: Sum up. All placeholder tokens are preserved verbatim for restoration: ' || {account} || '.'"
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 4 AS tokens_restored, true AS clean, {_mocked(_FIRST_ACCOUNT)} || chr(10) || {_mocked(_SECOND_ACCOUNT)} AS restored FROM orders")
+def process_chunks(spark, sf_dir):
+    """The round trip of notes that are sent in two chunks each; replies come back in their order."""
+    _checkpoints(spark)
+    text = f"'Account No: ' || {_FIRST_ACCOUNT} || ' is open and in use. Account No: ' || {_SECOND_ACCOUNT} || ' is closed for good.'"
+    return process(notes(spark, sf_dir, text), keys(spark), "Sum up.", limit=60).select("doc_id", "tokens_restored", "clean", "restored")
+
+
+_HIDDEN = {"ssn": LABELLED["ssn"][1], "account": _ACCOUNT, "email": _EMAIL, "phone": LABELLED["phone"][1], "card": LABELLED["credit_card"][1], "case": LABELLED["case_no"][1], "name": f"{_FIRST} || ' ' || {_LAST}"}
+_KEPT = ("HIV-1 RNA 100000 copies/mL", "blood pressure 120/80 mmHg", "dose 500 mg")
+_FULL_NOTE = " || ' ' || ".join(["'Patient: '", f"{_HIDDEN['name']} || ', SSN'", _HIDDEN["ssn"], "'Account No: '", _HIDDEN["account"], "'reach'", _HIDDEN["email"], "'or'", f"{_HIDDEN['phone']} || ', card'", f"{_HIDDEN['card']} || '; Docket No:'", f"{_HIDDEN['case']} || '.'", *[f"'{k};'" for k in _KEPT], f"'Later Mr. ' || {_LAST} || ' left.'"])
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 0 AS leaks, {len(_KEPT)} AS kept, false AS blocked FROM orders")
+def leak_notes(spark, sf_dir):
+    """Notes with a list of what must be hidden and of what must stay: nothing of the first is left,
+    all of the second is."""
+    rows = read(spark, sf_dir, "orders").selectExpr(f"'{SESSION}' AS session_id", "CAST(o_orderkey AS STRING) AS doc_id", f"{_FULL_NOTE} AS text", f"array({', '.join([*_HIDDEN.values(), _LAST])}) AS hidden")
+    out = obfuscate(over_cores(rows), keys(spark))
+    bare = F.regexp_replace("obfuscated_text", vocab.TOKEN, " ")
+    left = F.size(F.filter("hidden", lambda h: F.contains(bare, h)))
+    kept = sum(F.contains("obfuscated_text", F.lit(k)).cast("int") for k in _KEPT)
+    gate = outbound.verify(out.withColumn("payload", outbound.payload(F.lit(outbound.SYSTEM), outbound.context(F.col("obfuscated_text")), F.lit("Sum up."))))
+    return gate.select("doc_id", left.alias("leaks"), kept.alias("kept"), "blocked")
 
 
 # --- rules, sessions -------------------------------------------------------------------------
@@ -501,11 +554,13 @@ def rules_custom(spark, sf_dir):
     return rule_source.table(spark, _custom(spark)).where("source = 'custom'").select("id", "entity_type", "confidence", "enabled")
 
 
-@query("SELECT 'standard' AS source, 24 AS rules, 24 AS enabled UNION ALL SELECT 'custom', 3, 2")
+_LISTED = [*[(r.id, r.name, r.entity_type, "standard", None, None) for r in STANDARD_RULES], ("project", "project", "GENERIC_ID", "custom", r"PRJ-\d{4}", True), ("odd", "odd", "GENERIC_ID", "custom", "ODD[0-9]+", True), ("off", "off", "GENERIC_ID", "custom", "zzz", False)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'" for x in r) + ")" for r in _LISTED) + ") AS t(id, name, entity_type, source, regex, enabled)")
 def rules_list(spark, sf_dir):
-    listed = rule_source.table(spark, _custom(spark))
-    rule_source.listing(listed)
-    return listed.groupBy("source").agg(F.count(F.lit(1)).cast("int").alias("rules"), F.sum(F.col("enabled").cast("int")).cast("int").alias("enabled"))
+    """The report of rules: custom ones whole, standard ones by id, name and type."""
+    return rule_source.listing(rule_source.table(spark, _custom(spark))).select("id", "name", "entity_type", "source", "regex", "enabled")
 
 
 @query(f"SELECT o_orderkey AS doc_id, 4 AS start_pos, 'PRJ-' || {num('o_orderkey % 10000', 4)} AS value, 'rule:project' AS source FROM orders")
@@ -526,6 +581,28 @@ def session_expiry(spark, sf_dir):
     return vault.reap(sessions, now).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""
+WITH n AS (SELECT max(ts) AS t FROM events), s AS (SELECT user_id, min(ts) + INTERVAL 20 DAY AS e FROM events GROUP BY user_id),
+r AS (SELECT user_id, CASE WHEN e <= t THEN 'DESTROYED' WHEN user_id % 5 = 0 THEN CASE WHEN user_id % 2 = 0 AND user_id % 3 <> 0 THEN 'DRAINING' ELSE 'DESTROYED' END ELSE 'ACTIVE' END AS state FROM s, n)
+SELECT r.state, count(DISTINCT r.user_id) AS sessions, CAST(count(*) FILTER (r.state <> 'ACTIVE') AS BIGINT) AS refused FROM r JOIN events USING (user_id) GROUP BY r.state
+""")
+def session_lifecycle(spark, sf_dir):
+    """Sessions that expire, drain while requests are open, and go after the timeout; requests of all but
+    the active ones are refused."""
+    events = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), "user_id", "ts")
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    rows = events.groupBy("session_id", "user_id").agg(F.min("ts").alias("created_at"))
+    sessions = rows.withColumn("expires_at", F.col("created_at") + F.expr("INTERVAL 20 DAYS")).withColumn("state", F.lit("ACTIVE"))
+    sessions = vault.reap(sessions, now)
+    begun = F.when(F.col("user_id") % 3 == 0, now - F.expr("INTERVAL 1 MINUTE")).otherwise(now)
+    sessions = vault.drain(sessions, F.col("user_id") % 5 == 0, begun)
+    busy = events.where("user_id % 2 = 0").select("session_id")
+    sessions = vault.drained(sessions, busy, now)
+    refused = vault.refused(events.select("session_id", "ts"), sessions, now).groupBy("session_id").agg(F.count(F.lit(1)).alias("refused"))
+    told = sessions.join(refused, "session_id", "left").groupBy("state")
+    return told.agg(F.count(F.lit(1)).alias("sessions"), F.coalesce(F.sum("refused"), F.lit(0)).alias("refused"))
+
+
 @query("""
 WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +31,15 @@ def read(spark: SparkSession, path: str, extract: Callable[[bytes], list[str] |
     def pages(contents: pd.Series) -> pd.Series:
         return contents.map(lambda c: extract(bytes(c)))
 
-    files = spark.read.format("binaryFile").load(path).select("path", "length", pages("content").alias("pages"))
-    error = F.when(F.col("length") == 0, "empty").when(F.col("pages").isNull(), "malformed")
-    return files.select("path", "pages", F.array_join("pages", "\n").alias("text"), error.alias("error"))
+    table = spark.read.format("binaryFile").load(path)
+    files = table.select("path", pages("content").alias("pages"))
+    error = F.when(F.col("pages").isNull(), "malformed")
+    files = files.select("path", "pages", F.array_join("pages", "\n").alias("text"), error.alias("error"))
+    # the reader passes over files without a byte; the listing has them
+    listed = [(re.sub(r"^(\w+):/{3}", r"\1:/", unquote(p)),) for p in table.inputFiles()]
+    empty = spark.createDataFrame(listed, "path string").join(table.select("path"), "path", "left_anti")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in files.dtypes if c in ("pages", "text")]
+    return files.union(empty.select("path", *nothing, F.lit("empty").alias("error")))
 
 
 def quarantine(docs: DataFrame, policy: Policy | None = None, text: str = "text", pages: str | None = None) -> DataFrame:

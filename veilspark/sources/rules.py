@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..schema import RULE, STANDARD_RULES, Rule, rule_rows
+from ..schema import RULE, STANDARD_RULES, Rule, Settings, rule_rows
 
 log = logging.getLogger(__name__)
 _ROW = "id string, name string, entity_type string, regex string, preceding string, succeeding string, action string, enabled boolean, priority int, confidence double, ignore_case boolean"
@@ -63,6 +63,18 @@ def table(spark: SparkSession, custom: list[Rule] = ()) -> DataFrame:
     return spark.createDataFrame(rule_rows(STANDARD_RULES), RULE).unionByName(spark.createDataFrame(rule_rows(list(custom)), RULE))
 
 
+def supported_types(custom: list[Rule] = (), others: tuple[str, ...] = ()) -> list[str]:
+    """All entity types that the rules, the passes beside them and other detectors may find, sorted."""
+    return sorted({r.entity_type for r in (*STANDARD_RULES, *custom)} | {"ZIP", "GENERIC_ID", "NAME"} | set(others))
+
+
+def info(settings: Settings, custom: list[Rule] = ()) -> dict:
+    """What a health check shows: no key, no text."""
+    from .. import __version__
+
+    return {"status": "ok", "version": __version__, "detector": "native", "provider": settings.provider_name(), "custom_rules": len(custom), "standard_rules": len(STANDARD_RULES), "entity_types": supported_types(custom)}
+
+
 def listing(rules: DataFrame) -> DataFrame:
     """Rules as a report shows them: custom ones whole, standard ones by id, name and type."""
     custom = F.col("source") == "custom"

@@ -31,7 +31,7 @@ def _info(label: str, value: Column) -> Column:
 
 def _with_key(df: DataFrame, masters: DataFrame) -> DataFrame:
     """``df`` (user_id, doc_id, key_version) with ``_key``: master -> user's key -> document's key."""
-    out = df.join(masters, "key_version").withColumn("_kek", crypto.hmac_hex(F.col("m_inner"), F.col("m_outer"), _info("veil/store/kek/", F.col("user_id"))))
+    out = crypto.with_keys(df, masters, "m_inner", "m_outer", on="key_version").withColumn("_kek", crypto.hmac_hex(F.col("m_inner"), F.col("m_outer"), _info("veil/store/kek/", F.col("user_id"))))
     out = out.withColumn("_prk", crypto.hmac_hex(F.lit(_ZERO[0]), F.lit(_ZERO[1]), F.col("_kek")))
     pads = out.withColumn("_in", crypto.pad_of(F.col("_prk"), 0x36)).withColumn("_out", crypto.pad_of(F.col("_prk"), 0x5C))
     keyed = pads.withColumn("_key", F.unhex(crypto.hmac_hex(F.col("_in"), F.col("_out"), _info("veil/store/dek/", F.col("doc_id")))))
@@ -56,12 +56,21 @@ def _newest(table: DataFrame) -> DataFrame:
     return table.groupBy("user_hash", "doc_hash").agg(best).select("user_hash", "doc_hash", "b.key_version", "b.blob")
 
 
+_USERS = 1000  # users whose partitions are named in the plan
+
+
+def _of_users(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """The partitions of the users of ``asked``, if they are few; the join prunes the rest."""
+    users = [r.user_hash for r in asked.select("user_hash").distinct().limit(_USERS + 1).collect()]
+    return table.where(F.col("user_hash").isin(users)) if len(users) <= _USERS else table
+
+
 def get(wanted: DataFrame, masters: DataFrame, path: str) -> DataFrame:
     """``wanted`` (user_id, doc_id) with text and error: ``missing`` or ``unreadable`` (wrong key or
     slot, or changed bytes) where there is no text. Only the users' partitions are read."""
     asked = wanted.select("user_id", "doc_id", user_hash(F.col("user_id")).alias("user_hash"), doc_hash(F.col("user_id"), F.col("doc_id")).alias("doc_hash"))
     table = wanted.sparkSession.read.schema("doc_hash string, key_version int, stored_at timestamp, blob binary, user_hash string").parquet(path)
-    found = asked.join(_newest(table), ["user_hash", "doc_hash"], "left")
+    found = asked.join(_newest(_of_users(table, asked)), ["user_hash", "doc_hash"], "left")
     keyed = _with_key(found.withColumn("key_version", F.coalesce("key_version", F.lit(1))), masters)
     text = crypto.decrypt(F.col("blob"), F.col("_key"), _aad())
     return keyed.withColumn("text", text).select("user_id", "doc_id", "text", F.when(F.col("blob").isNull(), "missing").when(F.col("text").isNull(), "unreadable").alias("error"))
@@ -71,4 +80,4 @@ def exists(wanted: DataFrame, path: str) -> DataFrame:
     """The rows of ``wanted`` (user_id, doc_id) that are stored."""
     asked = wanted.withColumn("user_hash", user_hash(F.col("user_id"))).withColumn("doc_hash", doc_hash(F.col("user_id"), F.col("doc_id")))
     table = wanted.sparkSession.read.schema("doc_hash string, user_hash string").parquet(path)
-    return asked.join(table, ["user_hash", "doc_hash"], "left_semi").select(*wanted.columns)
+    return asked.join(_of_users(table, asked), ["user_hash", "doc_hash"], "left_semi").select(*wanted.columns)
