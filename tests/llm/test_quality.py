@@ -21,7 +21,7 @@ def test_held_out_accuracy(spark):
 def test_sparse_sites_shrink(spark):
     rows = [(i, f"text number {i}", "big", "p") for i in range(200)] + [(300 + i, "word", f"bad{i % 5}", None) for i in range(100)] + [(500, "word", "tiny", "q"), (501, None, None, None), (None, "x", "tiny", "r")]
     docs = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, h string, p string, quality int, host string")
-    labels = spark.createDataFrame([(i, int(i < 190), 0, "x") for i in range(200)] + [(300 + i, int(i % 10 == 0), 0, "x") for i in range(100)] + [(500, 0, None, "x"), (None, 1, 1, "x")], "doc_id long, quality int, toxic int, text string")
+    labels = spark.createDataFrame([(i, int(i < 190), 0, "x") for i in range(200)] + [(300 + i, int(i // 5 % 10 == 0), 0, "x") for i in range(100)] + [(500, 0, None, "x"), (None, 1, 1, "x")], "doc_id long, quality int, toxic int, text string")
     got = {r.doc_id: r for r in quality.classify(docs, labels, F.col("h"), F.col("p")).collect()}
     assert len(got) == 303
     assert got[0].path_quality > 0.9 and got[300].path_quality < 0.3
