@@ -71,9 +71,8 @@ def test_large_histograms(seed):
 
 def test_encoder_gives_the_library_s_ids(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    texts += ["", " ", "<|endoftext|> a", "\r\n\t é 日本 🙂", "a" * 3000, " " * 500, "x\x00y"]
+    texts += ["", " ", "<|endoftext|> a", "a <|endoftext|> b<|endoftext|><|endoftext", "<|endoftext|>", "\r\n\t é 日本 🙂", "a" * 3000, " " * 500, "x\x00y"]
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     encode = packing.encoder(PATH)
     for t in texts:
         assert encode(t).tolist() == library.encode(t, add_special_tokens=False).ids

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is missing (a bare local session), a temporary folder is made once and
-    set as the checkpoint folder; on one machine that folder is shared by nature.
+    Where the setting is missing in a local session, a temporary folder is made once and set as the
+    checkpoint folder; on one machine that folder is shared by nature. On a cluster the setting
+    must be there.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
+    if not folder and not current.isDefined() and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not folder:
         folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="veilspark-")
     if not current.isDefined():
@@ -53,7 +56,8 @@ def small_batches(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder: no later job computes it again, and
-    a lost executor loses nothing. Spark removes the files once nothing refers to them."""
+    a lost executor loses nothing. The files stay until the folder is cleared, unless the session was
+    made with spark.cleaner.referenceTracking.cleanCheckpoints."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -95,20 +99,27 @@ def numbered(df: DataFrame, order: list[str], into: str, of: str | None = None,
     ``df`` is read three times: pass a table or a checkpoint. Returns the numbered rows and the
     row count of each value of ``of`` (under None, if that is None).
     """
-    spark, key = df.sparkSession, of or "_of"
-    rows = df if of else df.withColumn("_of", F.lit(0))
-    kind = dict(rows.dtypes)[key]
-    totals = {r[key]: r["count"] for r in rows.groupBy(key).count().collect()}
-    buckets = spark.createDataFrame([(k, min(most, -(-n // per_bucket))) for k, n in totals.items()], f"{key} {kind}, _nb int")
-    dealt = rows.join(F.broadcast(buckets), key).withColumn("_b", F.pmod(F.xxhash64(F.lit(17), *order), F.col("_nb")).cast("int")).drop("_nb")
+    spark = df.sparkSession
+    by = [of] if of else []
+    number, bucket, rank, shift = (fresh(df, x) for x in ("_number", "_bucket", "_rank", "_shift"))
+    if of:
+        kind = dict(df.dtypes)[of]
+        totals = {r[of]: r["count"] for r in df.groupBy(of).count().collect()}
+        buckets = spark.createDataFrame([(k, min(most, -(-n // per_bucket))) for k, n in totals.items()], f"{of} {kind}, {number} int")
+        rows, modulus = df.join(F.broadcast(buckets), of), F.col(number)
+    else:
+        totals = {None: df.count()}
+        rows, modulus = df.withColumn(number, F.lit(0)), F.lit(max(1, min(most, -(-totals[None] // per_bucket))))
+    dealt = rows.withColumn(bucket, F.pmod(F.xxhash64(F.lit(17), *order), modulus).cast("int")).drop(number)
     shifts, at = [], dict.fromkeys(totals, 0)
-    for r in sorted(dealt.groupBy(key, "_b").count().collect(), key=lambda r: (r[key], r["_b"])):
-        shifts.append((r[key], r["_b"], at[r[key]]))
-        at[r[key]] += r["count"]
-    table = spark.createDataFrame(shifts, f"{key} {kind}, _b int, _shift long")
-    rank = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) - 1
-    out = dealt.withColumn("_r", rank).join(F.broadcast(table), [key, "_b"]).withColumn(into, F.col("_r") + F.col("_shift"))
-    return out.drop("_b", "_r", "_shift", "_of"), totals if of else {None: totals.get(0, 0)}
+    for r in sorted(dealt.groupBy(*by, bucket).count().collect(), key=lambda r: tuple(r)[:-1]):
+        value = r[of] if of else None
+        shifts.append((*([value] if of else []), r[bucket], at[value]))
+        at[value] += r["count"]
+    table = spark.createDataFrame(shifts, (f"{of} {kind}, " if of else "") + f"{bucket} int, {shift} long")
+    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(*by, bucket).orderBy(*order)) - 1)
+    out = ranked.join(F.broadcast(table), [*by, bucket]).withColumn(into, F.col(rank) + F.col(shift))
+    return out.drop(bucket, rank, shift), totals
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

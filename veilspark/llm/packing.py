@@ -22,30 +22,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered
+from .common import cut, fresh, numbered
 
 END_ID = 2
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """A function from text to its ids under the tokenizer file at ``path`` (special tokens'
-    strings are ordinary text, none are added). Byte-level BPE files whose merges are in the order
-    of their ids run as a rank table, which gives the same ids in a sixth of the time."""
+    """A function from text to its ids under the tokenizer file at ``path``, as the library gives them
+    without adding special tokens: the strings of special tokens in a text become those tokens.
+    Byte-level BPE files whose merges are in the order of their ids run as a rank table, which gives
+    the same ids in a sixth of the time; texts with such strings go through the library."""
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    library: list = []
+
+    def slow(text: str) -> np.ndarray:
+        if not library:
+            library.append(Tokenizer.from_file(path))
+        return np.array(library[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
     table = _ranks(spec)
     if table is None:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return slow
     import public_tokenizers
     import tiktoken
 
     coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return lambda text: np.asarray(coder.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
+    added = [t["content"] for t in spec.get("added_tokens", [])]
+
+    def fast(text: str) -> np.ndarray:
+        if any(x in text for x in added):
+            return slow(text)
+        return np.asarray(coder.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
+
+    return fast
 
 
 def _ranks(spec: dict) -> dict[bytes, int] | None:
@@ -244,12 +257,16 @@ def pack(rows: DataFrame, order: list[str], capacity: int = 1024, nodes: int = 4
     """``rows`` (an integer column length, 1 to ``capacity``) with sequence_id and offset.
 
     Which of the rows of equal length goes where follows the hash of the columns ``order``, not
-    the layout of files. The driver holds the histogram of lengths and the patterns, both bounded
+    the layout of files. The search completes a bin with at most 24 fillings, found in 40 x 24 steps,
+    tests dominance for fillings of up to four pieces and visits at most ``nodes`` nodes; where these
+    bind, the best solution found so far is returned, best-fit decreasing at worst. It and the lower bound are
+    logged; no piece is lost. The driver holds the histogram of lengths and the patterns, both bounded
     by the capacity. A null length is no piece. ``rows`` is read three times: pass a table or a checkpoint. An empty table
     gives an empty result; clashing columns sequence_id and offset are replaced.
     """
     rows = rows.drop("sequence_id", "offset")
-    ranked, totals = numbered(rows.where("length is not null"), order, "_rank", of="length")
+    rank_, pair = fresh(rows, "_place_rank"), fresh(rows, "_place")
+    ranked, totals = numbered(rows.where("length is not null"), order, rank_, of="length")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for n, k in totals.items():
         if not 1 <= n <= capacity:
@@ -274,12 +291,13 @@ def pack(rows: DataFrame, order: list[str], capacity: int = 1024, nodes: int = 4
         i = np.searchsorted(keys, key, side="right") - 1
         return pd.DataFrame({"sequence_id": bases[i] + key - keys[i], "offset": offsets[i]})
 
-    return ranked.withColumn("_p", placed("length", "_rank")).select("*", "_p.sequence_id", "_p.offset").drop("_p", "_rank")
+    return ranked.withColumn(pair, placed("length", rank_)).select("*", f"{pair}.sequence_id", f"{pair}.offset").drop(pair, rank_)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
     """All rows of ``docs`` (doc_id, text) in pieces (see :func:`pieces`) with their places.
-    Repeated rows are packed as often as they occur; texts of any length are cut, never dropped."""
+    Repeated rows are packed as often as they occur; a null text is packed as an empty one; texts of
+    any length are cut, never dropped. Extra columns are ignored; an empty table gives an empty result."""
     made = cut(pieces(docs, tokenizer, capacity, keep_ids=keep_ids))
     out = pack(made, ["doc_id", "piece", "start", "ids_crc32"], capacity)
     return out.withColumn("length", F.col("length").cast("long"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered
+from .common import cut, fresh, numbered
 
 ROUNDS = 6
 
@@ -80,21 +80,23 @@ def shard(rows: DataFrame, order: list[str], shards: int = 24, seed: int = 7) ->
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    out, totals = numbered(rows.drop("row", "shard", "slot"), order, "row")
-    n = totals.get(None, 0)
+    rows = rows.drop("row", "shard", "slot")
+    out, totals = numbered(rows, order, "row")
+    n, pair = totals[None], fresh(rows, "_place")
 
     @F.pandas_udf("shard int, slot long")
     def placed(row: pd.Series) -> pd.DataFrame:
         s, t = place(row.to_numpy(), n, shards, seed)
         return pd.DataFrame({"shard": s.astype(np.int32), "slot": t})
 
-    return out.withColumn("_p", placed("row")).select("*", "_p.shard", "_p.slot").drop("_p")
+    return out.withColumn(pair, placed("row")).select("*", f"{pair}.shard", f"{pair}.slot").drop(pair)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
     """Documents (doc_id, text) dealt by :func:`shard`, as doc_id, size (UTF-8 bytes of the text, null:
     none, plus 8), text_crc32 (0 for a null text, as for an empty one), law, shard, slot,
-    grown_shard (null: only the law ``key`` has one). The text itself is read once and never shuffled."""
+    grown_shard (null: only the law ``key`` has one), group (the hash that equal texts share; the law deals rows,
+    so a group's rows lie in any shard). The text itself is read once and never shuffled."""
     digest = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
@@ -102,4 +104,4 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFra
         F.xxhash64("text").alias("text_hash"),
     )
     dealt = shard(cut(digest), ["doc_id", "text_hash", "size", "text_crc32"], shards, seed)
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("text_hash").alias("group"))
