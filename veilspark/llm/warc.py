@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_path
+from .common import cut, likely, scratch_path
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
@@ -41,7 +41,12 @@ def records(pages: DataFrame, least: int = 100) -> DataFrame:
     base = base.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("bytes", F.octet_length("html"))
     long = base.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n"))
     first = long.where("n > 1").select(F.col("digest").alias("d"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
-    joined = base.join(first, (base["digest"] == first["d"]) & (F.col("bytes") >= least), "left")
+    # pages without a copy stay where they are; a table of its own leaves the join free to split a payload of very many pages
+    first = cut(first)
+    marked = likely(base, "digest", first.select("d"), "some").withColumn("some", F.col("some") & (F.col("bytes") >= least))
+    copies = marked.where("some").join(first, F.col("digest") == F.col("d"), "left")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in first.dtypes]
+    joined = copies.union(marked.where("not some").select("*", *nothing)).drop("some")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     # ids are drawn once in a row and written with it: repeated rows stay separate captures
     ids = joined.select("*", revisit.alias("revisit"), *[F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")).alias(x) for x in ("main_id", "request_id", "metadata_id")])
