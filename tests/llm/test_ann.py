@@ -29,7 +29,7 @@ def test_recall_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.where("embedding is not null").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
-    got = collect(ann.nearest(df, F.col("id") % 20 == 0, block=300, chunk=30))
+    got = collect(ann.nearest(df, F.col("id") % 20 == 0, region=150, first_round=2))
     want = brute(ids, x, 20)
     assert set(got) == set(want) and all(len(got[q]) == 20 for q in got)
     assert recall(got, want) >= 0.9
@@ -69,6 +69,28 @@ def test_empty(spark):
     assert ann.nearest(df, F.col("id") % 20 == 0).count() == 0
 
 
+def test_clusters_are_not_compared_with_all(spark):
+    rnd = np.random.default_rng(5)
+    centres = rnd.standard_normal((30, 16)) * 8
+    x = np.concatenate([c + rnd.standard_normal((100, 16)) for c in centres])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    report = {}
+    got = collect(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, region=100, first_round=2, report=report))
+    assert report["pairs"] == 3000 * 150 and report["computed"] < 0.5 * report["pairs"]
+    assert recall(got, brute(np.arange(3000), x, 20)) >= 0.9
+
+
+def test_every_point_lies_in_its_leaf():
+    points = np.random.default_rng(2).standard_normal((5000, 3))
+    points[:2000] = points[0]  # many equal ones
+    tree = ann.top_tree(points[::3], 16)
+    at = ann.route(tree, points)
+    assert set(at.tolist()) == {n[1] for n in tree if n[0] < 0} and 8 <= at.max() + 1 <= 16
+    assert len(set(at[:2000].tolist())) == 1
+    assert ann.route(ann.top_tree(points[:0], 5), points).tolist() == [0] * 5000
+
+
 def test_chi_square():
     rnd = np.random.default_rng(0)
     sample = (rnd.standard_normal((40000, 6)) ** 2).sum(axis=1)

@@ -178,9 +178,37 @@ def test_meetings(size):
         if a in root and b in root:
             root[find(a)] = find(b)
     assert len({find(int(x)) for x in cluster}) == 1
-    assert size <= 16 or len(pairs) < 6 * size
+    assert size <= 16 or len(pairs) < 40 * size
     parts, leaders = [], {}  # a bucket in parts
     for i in range(0, len(cluster), 7):
         parts += simhash.meetings(np.full(len(cluster[i : i + 7]), 4), cluster[i : i + 7], 20, leaders).tolist()
         leaders.setdefault(4, np.empty(0, np.uint64))
     assert size > 16 or size == 2 or parts
+
+
+def test_copies_of_one_text_meet_it(spark):
+    """Copies that are alike through their original alone are one group, however many they are."""
+    rnd = random.Random(12)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    words = [word() for _ in range(400)]
+    rows = [(500, " ".join(words))]
+    for i in range(300):
+        other = list(words)
+        for at in rnd.sample(range(0, 400, 5), 7):
+            other[at] = word()
+        rows.append((i, " ".join(other)))
+    assert 0.8 < jaccard(rows[0][1], rows[1][1]) < 0.86 and jaccard(rows[1][1], rows[2][1]) < 0.75
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert 0 in kept and len(kept) <= 10
+
+
+def test_spanning(spark):
+    from veilspark.llm.common import components, spanning
+
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(30) + 100 * g, rnd.randrange(30) + 100 * g) for g in range(4) for _ in range(400)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    for at_once in (1 << 20, 100):
+        some = spanning(df, at_once)
+        assert some.count() < (120 if at_once > 1000 else 1600)
+        assert {tuple(r) for r in components(some).collect()} == {tuple(r) for r in components(df).collect()}

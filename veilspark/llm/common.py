@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +124,32 @@ def numbered(df: DataFrame, order: list[str], into: str, of: str | None = None,
     return out.drop(bucket, rank, shift), totals
 
 
+def spanning(edges: DataFrame, at_once: int = 1 << 20) -> DataFrame:
+    """Some of the edges (a, b) that connect what all of them do: of every ``at_once`` or so, those that
+    close no circle. ``edges`` is read twice: pass a table or a checkpoint."""
+    parts = max(1, -(-edges.count() // at_once))
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        for b in batches:
+            keep = np.zeros(len(b), dtype=bool)
+            for i, (x, y) in enumerate(zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)):
+                x, y = find(x), find(y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    keep[i] = True
+            yield b.filter(pa.array(keep))
+
+    return edges.select("a", "b").coalesce(parts).mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the graph with the edges (a, b): one row (node, root) for each node
     that has an edge to another one; root is the component's smallest node.

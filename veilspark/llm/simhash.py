@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut, fresh, likely, stored
+from .common import components, cut, fresh, likely, spanning, stored
 from .words import gram_hashes, hashed, multipliers, portions, scramble
 
 BITS = 64
@@ -320,7 +320,8 @@ def _word_variants(nodes: DataFrame) -> DataFrame:
 def meetings(keys: np.ndarray, fps: np.ndarray, near: int, leaders: dict[int, np.ndarray]) -> np.ndarray:
     """Pairs (rows of two) of fingerprints under equal keys, ascending, that differ in at most ``near`` bits: all of
     a bucket of up to _ALL; in a larger one each fingerprint with those of the bucket's leaders that
-    are near, each being near one or a leader itself. ``leaders``: those of a bucket whose part this is."""
+    are near, each being near one or a leader itself. Leaders are the most central ones: of a text and
+    its many copies, that text. ``leaders``: those of a bucket whose part this is."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=np.int64)
     sizes = np.diff(np.r_[starts, len(keys)])
     whole = np.array([int(k) not in leaders for k in keys[starts]], dtype=bool) if leaders else np.ones(len(starts), dtype=bool)
@@ -341,8 +342,10 @@ def meetings(keys: np.ndarray, fps: np.ndarray, near: int, leaders: dict[int, np
         bucket, known = fps[s : s + n], list(leaders.get(int(keys[s]), ()))
         left = np.ones(n, dtype=bool)
         while known or left.any():
-            leader = known.pop() if known else bucket[int(np.argmax(left))]
-            if leader in bucket[left]:
+            if known:
+                leader = known.pop()
+            else:
+                leader = central(bucket[left])
                 leaders[int(keys[s])] = np.r_[leaders.get(int(keys[s]), np.empty(0, np.uint64)), leader]
             add(np.full(n, leader), bucket)
             left &= np.bitwise_count(bucket ^ leader) > near
@@ -350,6 +353,13 @@ def meetings(keys: np.ndarray, fps: np.ndarray, near: int, leaders: dict[int, np
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
+def central(fps: np.ndarray) -> np.uint64:
+    """The fingerprint that differs least from the majority of each bit."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(fps), bitorder="little").view(np.uint64)[0]
+    return fps[int(np.argmin(np.bitwise_count(fps ^ middle)))]
+
+
 def similar(nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(a, b): pairs of the nodes (fp, least, digest, w1 .. w7) of that similarity, as many as
     :func:`_word_variants` lets meet. ``docs``: the texts (doc_id, text) of the nodes, each under
@@ -452,7 +462,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest")))
     nodes = base.groupBy("fp").agg(first.alias("first"), F.min(F.struct(*words)).alias("w"))
     nodes = cut(nodes.select("fp", F.col("first.doc_id").alias("least"), "first.digest", *[F.col(f"w.{w}").alias(w) for w in words]))
-    classes = cut(_classes(nodes.select("fp", "least"), similar(nodes, docs, similarity, shingle)))
+    classes = cut(_classes(nodes.select("fp", "least"), spanning(cut(similar(nodes, docs, similarity, shingle)))))
     again = base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone = base.join(classes, "fp").where("doc_id <> component_id").select("doc_id").union(again)
     gone = cut(gone.distinct())
