@@ -39,7 +39,7 @@ from .words import gram_hashes, hashed, multipliers, portions, scramble
 BITS = 64
 _MORE = 7  # words of 64 bits in a wide fingerprint, besides the fingerprint
 _KEY = 28  # bits of each 32 of those that are looked up
-_ALL = 16  # buckets up to this size compare each with each
+_TOGETHER = 16  # buckets up to this size are solved at once
 #: A byte as a number whose bytes are the byte's bits.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
@@ -318,10 +318,10 @@ def _word_variants(nodes: DataFrame) -> DataFrame:
 
 
 def meetings(keys: np.ndarray, fps: np.ndarray, near: int, leaders: dict[int, np.ndarray]) -> np.ndarray:
-    """Pairs (rows of two) of fingerprints under equal keys, ascending, that differ in at most ``near`` bits: all of
-    a bucket of up to _ALL; in a larger one each fingerprint with those of the bucket's leaders that
-    are near, each being near one or a leader itself. Leaders are the most central ones: of a text and
-    its many copies, that text. ``leaders``: those of a bucket whose part this is."""
+    """Pairs (rows of two) of fingerprints under equal keys, ascending, that differ in at most ``near`` bits:
+    each fingerprint with those of its bucket's leaders that are near, each being near one or a
+    leader itself. Leaders are the most central ones: of a text and its many copies, that text.
+    ``leaders``: those of a bucket whose part this is."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=np.int64)
     sizes = np.diff(np.r_[starts, len(keys)])
     whole = np.array([int(k) not in leaders for k in keys[starts]], dtype=bool) if leaders else np.ones(len(starts), dtype=bool)
@@ -331,21 +331,26 @@ def meetings(keys: np.ndarray, fps: np.ndarray, near: int, leaders: dict[int, np
         ok = np.bitwise_count(x ^ y) <= near
         out.append(np.stack([np.minimum(x, y)[ok], np.maximum(x, y)[ok]], axis=1))
 
-    for size in range(2, _ALL + 1):
-        at = starts[whole & (sizes == size)]
-        if len(at):
-            members = fps[at[:, None] + np.arange(size)]
-            for i in range(size):
-                for j in range(i):
-                    add(members[:, i], members[:, j])
-    for s, n in zip(starts[~whole | (sizes > _ALL)].tolist(), sizes[~whole | (sizes > _ALL)].tolist(), strict=True):
-        bucket, known = fps[s : s + n], list(leaders.get(int(keys[s]), ()))
+    alone = ~whole | (sizes > _TOGETHER)
+    for size in range(2, _TOGETHER + 1):
+        own = np.flatnonzero(~alone & (sizes == size))
+        members = np.sort(fps[starts[own][:, None] + np.arange(size)], axis=1)
+        if size == 2:
+            add(members[:, 0], members[:, 1])
+            continue
+        leader = members[np.arange(len(own)), central(members)]
+        far = (np.bitwise_count(members ^ leader[:, None]) > near).any(axis=1)
+        alone[own[far]] = True  # of several leaders
+        for i in range(size):
+            add(leader[~far], members[~far, i])
+    for s, n in zip(starts[alone].tolist(), sizes[alone].tolist(), strict=True):
+        bucket, known = np.sort(fps[s : s + n]), list(leaders.get(int(keys[s]), ()))
         left = np.ones(n, dtype=bool)
         while known or left.any():
             if known:
                 leader = known.pop()
             else:
-                leader = central(bucket[left])
+                leader = bucket[left][central(bucket[left][None])[0]]
                 leaders[int(keys[s])] = np.r_[leaders.get(int(keys[s]), np.empty(0, np.uint64)), leader]
             add(np.full(n, leader), bucket)
             left &= np.bitwise_count(bucket ^ leader) > near
@@ -353,11 +358,11 @@ def meetings(keys: np.ndarray, fps: np.ndarray, near: int, leaders: dict[int, np
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
-def central(fps: np.ndarray) -> np.uint64:
-    """The fingerprint that differs least from the majority of each bit."""
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(fps), bitorder="little").view(np.uint64)[0]
-    return fps[int(np.argmin(np.bitwise_count(fps ^ middle)))]
+def central(buckets: np.ndarray) -> np.ndarray:
+    """For each row of fingerprints the place of the one that differs least from the majority of each bit."""
+    bits = np.unpackbits(np.ascontiguousarray(buckets).view(np.uint8).reshape(*buckets.shape, 8), axis=2, bitorder="little")
+    middle = np.packbits(2 * bits.sum(axis=1, dtype=np.int64) > buckets.shape[1], axis=1, bitorder="little").view(np.uint64)
+    return np.argmin(np.bitwise_count(buckets ^ middle), axis=1)
 
 
 def similar(nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
