@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm import decontaminate, langid, packing, passages, simhash
-from veilspark.llm.common import scratch_path, small_batches
+from veilspark.llm.common import remove_path, scratch_path, small_batches
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents in ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         path = scratch_path(spark, name)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove_path(spark, before)  # nothing reads it any more
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
