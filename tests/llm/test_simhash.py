@@ -186,6 +186,16 @@ def test_meetings(size):
     assert size > 16 or size == 2 or parts
 
 
+def test_through_hubs():
+    """Pairs of one group go; of others each end meets the hub of the other's group, if it is near."""
+    fps = np.array([0b1, 0b11, 0b111, 1 << 40, (1 << 64) - 1], dtype=np.uint64)
+    hubs = np.array([0b1, 0b1, 0b1, 1 << 40, (1 << 64) - 1], dtype=np.uint64)
+    pairs = np.array([[0b1, 0b11], [0b11, 0b111], [0b111, 1 << 40], [0b11, (1 << 64) - 1]], dtype=np.uint64)
+    got = simhash.through_hubs(pairs, fps, hubs, 20).tolist()
+    assert got == [[0b1, 1 << 40], [0b111, 1 << 40]]  # the far text stays far from the hub too
+    assert simhash.through_hubs(pairs[:0], fps, hubs, 20).shape == (0, 2)
+
+
 def test_copies_of_one_text_meet_it(spark):
     """Copies that are alike through their original alone are one group, however many they are."""
     rnd = random.Random(12)

@@ -17,7 +17,10 @@ Similarity. Texts whose shingles have a Jaccard similarity of 0.8 differ in 15 %
 of 32, and hashes balls in 28 bits of each: a fingerprint emits all variants of each word within
 half of radius two, so similar texts meet in at least one word (94 % of those of 0.8, 99 % of those of
 0.85). What meets is verified on all 512 bits, and by the shingles themselves if that estimate
-is within 2.5 standard errors of the bar.
+is within 2.5 standard errors of the bar. The words are looked up in three rounds. A round's links make groups, each
+with the text of most links as its hub. In the next round two texts of one group make no pair, as they are connected
+already, and a text that meets one of another group is also compared with that group's hub: so the copies of one
+text, that are like it but not like each other, do not meet pair by pair in bucket after bucket.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ from .words import gram_hashes, hashed, multipliers, portions, scramble
 BITS = 64
 _MORE = 7  # words of 64 bits in a wide fingerprint, besides the fingerprint
 _KEY = 28  # bits of each 32 of those that are looked up
+_ROUNDS = (range(0, 1), range(1, 3), range(3, 2 * _MORE))  # the words of 32 bits that each round looks up
 _TOGETHER = 16  # buckets up to this size are solved at once
 #: A byte as a number whose bytes are the byte's bits.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -300,21 +304,23 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _word_variants(nodes: DataFrame) -> DataFrame:
-    """(key, fp): for each of the 14 words of a node all variants of its key bits within one flip."""
+def _word_variants(nodes: DataFrame, looked_up: range) -> DataFrame:
+    """(key, fp, hub): for each of those words of a node all variants of its key bits within one flip;
+    hub: in what bits the hub of the node's group differs from it (zero for most, so it takes little room)."""
     flips = np.r_[0, 1 << np.arange(_KEY)].astype(np.uint32)
-    tags = np.arange(2 * _MORE, dtype=np.uint32) << np.uint32(_KEY)
+    own = np.array(looked_up)
+    tags = own.astype(np.uint32) << np.uint32(_KEY)
 
     def run(batches):
         for b in batches:
-            fps = b.column("fp").to_numpy()
-            words = np.stack([b.column(f"w{i + 1}").to_numpy() for i in range(_MORE)], axis=1).view("<u4")
+            fps, hubs = b.column("fp").to_numpy(), b.column("hub").to_numpy()
+            words = np.stack([b.column(f"w{i + 1}").to_numpy() for i in range(_MORE)], axis=1).view("<u4")[:, own]
             for at in range(0, len(fps), 250):
                 part = words[at : at + 250] & np.uint32((1 << _KEY) - 1) | tags
                 keys = (part[:, :, None] ^ flips).reshape(len(part), -1)
-                yield pa.record_batch([pa.array(keys.ravel().view(np.int32)), pa.array(np.repeat(fps[at : at + 250], keys.shape[1]))], ["key", "fp"])
+                yield pa.record_batch([pa.array(keys.ravel().view(np.int32)), *(pa.array(np.repeat(c[at : at + 250], keys.shape[1])) for c in (fps, hubs))], ["key", "fp", "hub"])
 
-    return nodes.mapInArrow(run, "key int, fp long")
+    return nodes.mapInArrow(run, "key int, fp long, hub long")
 
 
 def meetings(keys: np.ndarray, fps: np.ndarray, near: int, leaders: dict[int, np.ndarray]) -> np.ndarray:
@@ -365,57 +371,93 @@ def central(buckets: np.ndarray) -> np.ndarray:
     return np.argmin(np.bitwise_count(buckets ^ middle), axis=1)
 
 
-def similar(nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b): pairs of the nodes (fp, least, digest, w1 .. w7) of that similarity, as many as
-    :func:`_word_variants` lets meet. ``docs``: the texts (doc_id, text) of the nodes, each under
-    its ``least`` and with the XXH64 ``digest``; a node without an id has only its bits."""
-    share = differing(similarity)
-    near = math.ceil(BITS * share + 3.6 * math.sqrt(BITS * share * (1 - share)))
+def through_hubs(pairs: np.ndarray, known: np.ndarray, hubs: np.ndarray, near: int) -> np.ndarray:
+    """The pairs whose ends are of different groups, and of each also either end with the hub of the other one and
+    both hubs, as far as these differ in at most ``near`` bits. ``hubs``: of the fingerprints ``known`` (ascending)."""
+    x, y = pairs[:, 0], pairs[:, 1]
+    p, q = hubs[np.searchsorted(known, x)], hubs[np.searchsorted(known, y)]
+    x, y, p, q = (v[p != q] for v in (x, y, p, q))
+    ends = np.concatenate([np.stack(two, axis=1) for two in ((x, y), (x, q), (p, y), (p, q))])
+    ends.sort(axis=1)
+    return np.unique(ends[np.bitwise_count(ends[:, 0] ^ ends[:, 1]) <= near], axis=0)
+
+
+def _met(nodes: DataFrame, looked_up: range, near: int) -> DataFrame:
+    """(a, b): pairs of the nodes (fp, hub, w1 .. w7) of different groups that meet in one of those words."""
 
     def run(batches):
-        held_keys, held_fps, size, leaders = [], [], 0, {}
+        held, size, leaders = [], 0, {}
+        seen = np.empty((2, 0), dtype=np.uint64)  # leaders of a bucket that goes on, and their hubs
 
-        def solve(keys, fps):
+        def solve(keys, fps, hubs):
+            nonlocal seen
             pairs = meetings(keys, fps, near, leaders)
+            if hubs.any() or (seen[0] != seen[1]).any():
+                known, at = np.unique(np.r_[fps, seen[0]], return_index=True)
+                own = np.r_[fps ^ hubs, seen[1]][at]
+                pairs = through_hubs(pairs, known, own, near)
+            else:
+                known = own = np.unique(np.r_[fps, seen[0]]) if leaders else fps[:0]
+            led = np.unique(np.concatenate([fps[:0], *leaders.values()]))
+            seen = np.stack([led, own[np.searchsorted(known, led)]])
             return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in range(2)], ["a", "b"])
 
         for b in batches:
-            held_keys.append(b.column("key").to_numpy())
-            held_fps.append(b.column("fp").to_numpy().view(np.uint64))
+            held.append((b.column("key").to_numpy(), *(b.column(c).to_numpy().view(np.uint64) for c in ("fp", "hub"))))
             size += len(b)
             if size < 1 << 17:
                 continue
-            keys, fps = np.concatenate(held_keys), np.concatenate(held_fps)
-            last = int(np.searchsorted(keys, keys[-1]))  # sorted: the last key may go on
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # sorted: the last key may go on
             if last:
-                yield solve(keys[:last], fps[:last])
+                yield solve(*(c[:last] for c in rows))
                 leaders.clear()
-                keys, fps = keys[last:], fps[last:]
-            if len(keys) > 1 << 16:  # a bucket too large to hold: its leaders stay
-                yield solve(keys, fps)
-                leaders.setdefault(int(keys[-1]), np.empty(0, np.uint64))
-                keys, fps = keys[:0], fps[:0]
-            held_keys, held_fps, size = [keys], [fps], len(keys)
+                rows = [c[last:] for c in rows]
+            if len(rows[0]) > 1 << 16:  # a bucket too large to hold: its leaders stay
+                yield solve(*rows)
+                leaders.setdefault(int(rows[0][-1]), np.empty(0, np.uint64))
+                rows = [c[:0] for c in rows]
+            held, size = [rows], len(rows[0])
         if size:
-            yield solve(np.concatenate(held_keys), np.concatenate(held_fps))
+            yield solve(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    met = _word_variants(nodes, looked_up).repartition("key").sortWithinPartitions("key")
+    return met.mapInArrow(run, "a long, b long").distinct()
 
-    met = _word_variants(nodes).repartition("key").sortWithinPartitions("key")
-    pairs = met.mapInArrow(run, "a long, b long").distinct()
+
+def _hubs(linked: DataFrame) -> DataFrame:
+    """(fp, hub) of each linked fingerprint: that of its group with most links, of several the smallest."""
+    ends = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    named = cut(components(spanning(linked)).join(ends, "node"))
+    # a table of its own leaves the join free to split a large group
+    most = cut(named.groupBy("root").agg(F.min(F.struct(-F.col("n"), "node")).alias("hub")).select("root", "hub.node").withColumnRenamed("node", "hub"))
+    return named.join(most, "root").select(F.col("node").alias("fp"), "hub")
+
+
+def similar(nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): pairs of the nodes (fp, least, digest, w1 .. w7) of that similarity: of those that
+    :func:`_word_variants` lets meet, as many as connect them. ``docs``: the texts (doc_id, text) of the nodes, each under
+    its ``least`` and with the XXH64 ``digest``; a node without an id has only its bits."""
+    share = differing(similarity)
+    near = math.ceil(BITS * share + 3.6 * math.sqrt(BITS * share * (1 - share)))
     words = [f"w{i + 1}" for i in range(_MORE)]
-    for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("fp").alias(side), *[F.col(w).alias(f"{side}{w}") for w in words]), side)
+    sides = {side: nodes.select(F.col("fp").alias(side), F.col("least").isNull().alias(f"bare_{side}"), *[F.col(w).alias(f"{side}{w}") for w in words]) for side in "ab"}
     apart = reduce(Column.__add__, [F.bit_count(F.col("a").bitwiseXOR(F.col("b"))), *[F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words]])
     bits = BITS * (1 + _MORE)
     error = 2.5 * math.sqrt(bits * share * (1 - share))
-    pairs = cut(pairs.select("a", "b", apart.alias("apart")).where(F.col("apart") <= bits * share + error))
-    close = F.col("apart") <= bits * share - error
-    named = nodes.select("fp", F.col("least").isNull().alias("bare"))
-    unsure = pairs.where(~close)
-    for side in "ab":
-        unsure = unsure.join(named.select(F.col("fp").alias(side), F.col("bare").alias(f"bare_{side}")), side)
-    bare = F.col("bare_a") | F.col("bare_b")
-    told = unsure.where(bare & (F.col("apart") <= bits * share)).select("a", "b")
-    return pairs.where(close).select("a", "b").union(told).union(_verified(unsure.where(~bare).select("a", "b"), nodes, docs, similarity, shingle))
+    close, bare = F.col("apart") <= bits * share - error, F.col("bare_a") | F.col("bare_b")
+    found, placed = None, nodes.withColumn("hub", F.lit(0).cast("long"))
+    for looked_up in _ROUNDS:
+        if found is not None:
+            placed = nodes.join(_hubs(found), "fp", "left").withColumn("hub", F.coalesce(F.col("fp").bitwiseXOR(F.col("hub")), F.lit(0)))
+        pairs = _met(placed.select("fp", "hub", *words), looked_up, near)
+        for side in "ab":
+            pairs = pairs.join(sides[side], side)
+        pairs = cut(pairs.select("a", "b", apart.alias("apart"), bare.alias("bare")).where(F.col("apart") <= bits * share + error))
+        sure = pairs.where(close | F.col("bare") & (F.col("apart") <= bits * share)).select("a", "b")
+        new = sure.union(_verified(pairs.where(~close & ~F.col("bare")).select("a", "b"), nodes, docs, similarity, shingle))
+        found = cut(new if found is None else found.union(new))
+    return found
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -467,7 +509,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest")))
     nodes = base.groupBy("fp").agg(first.alias("first"), F.min(F.struct(*words)).alias("w"))
     nodes = cut(nodes.select("fp", F.col("first.doc_id").alias("least"), "first.digest", *[F.col(f"w.{w}").alias(w) for w in words]))
-    classes = cut(_classes(nodes.select("fp", "least"), spanning(cut(similar(nodes, docs, similarity, shingle)))))
+    classes = cut(_classes(nodes.select("fp", "least"), spanning(similar(nodes, docs, similarity, shingle))))
     again = base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone = base.join(classes, "fp").where("doc_id <> component_id").select("doc_id").union(again)
     gone = cut(gone.distinct())
