@@ -196,6 +196,17 @@ def test_through_hubs():
     assert simhash.through_hubs(pairs[:0], fps, hubs, 20).shape == (0, 2)
 
 
+def test_of_like_size():
+    known, sizes = np.array([3, 5, 9], dtype=np.uint64), simhash.steps(np.array([100, 126, 79]))
+    pairs = np.array([[3, 5], [3, 9], [5, 9], [4, 9], [9, 12]], dtype=np.uint64)
+    assert simhash.of_like_size(pairs, known, sizes, 21).tolist() == [[4, 9], [9, 12]]
+    assert simhash.of_like_size(pairs, known, simhash.steps(np.array([100, 125, 80])), 21).tolist() == [[3, 5], [3, 9], [4, 9], [9, 12]]
+    assert len(simhash.of_like_size(pairs, known[:0], sizes[:0], 21)) == 5 and not len(simhash.of_like_size(pairs[:0], known, sizes, 21))
+    n = np.arange(1, 3000)
+    assert (np.abs(simhash.steps(np.ceil(0.8 * n)).astype(int) - simhash.steps(n)) <= 21).all()  # no pair of 0.8 is lost
+    assert simhash.steps(np.array([0, 1])).tolist() == [0, 0]
+
+
 def test_copies_of_one_text_meet_it(spark):
     """Copies that are alike through their original alone are one group, however many they are."""
     rnd = random.Random(12)

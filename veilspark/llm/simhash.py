@@ -20,7 +20,7 @@ half of radius two, so similar texts meet in at least one word (94 % of those of
 is within 2.5 standard errors of the bar. The words are looked up in three rounds. A round's links make groups, each
 with the text of most links as its hub. In the next round two texts of one group make no pair, as they are connected
 already, and a text that meets one of another group is also compared with that group's hub: so the copies of one
-text, that are like it but not like each other, do not meet pair by pair in bucket after bucket.
+text, that are like it but not like each other, do not meet pair by pair in bucket after bucket. Texts of too unlike lengths for the similarity make no pair.
 """
 
 from __future__ import annotations
@@ -273,28 +273,35 @@ def _split(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def wide_bits(texts: list[bytes], shingle: int) -> np.ndarray:
+def wide_bits(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows of :func:`majorities` for texts in UTF-8, with the words and shingles of
-    :func:`fingerprint`; no words: all bits zero."""
-    return majorities(*_grams(*hashed(texts, _split), shingle))
+    :func:`fingerprint`; no words: all bits zero. And how many shingles each text has."""
+    h, sizes = _grams(*hashed(texts, _split), shingle)
+    return majorities(h, sizes), sizes
+
+
+def steps(sizes: np.ndarray) -> np.ndarray:
+    """Numbers of shingles in steps of a 64th of a doubling."""
+    return (64 * np.log2(np.maximum(sizes, 1))).astype(np.int16)
 
 
 def wide_fingerprints(docs: DataFrame, keep: list[str], shingle: int = 5) -> DataFrame:
-    """The columns ``keep`` of each row, a fingerprint of 64 bits (fp) and 448 more (w1 .. w7); names
-    that clash get an underscore in front."""
-    names = ["fp", *(f"w{i + 1}" for i in range(_MORE))]
+    """The columns ``keep`` of each row, a fingerprint of 64 bits (fp), 448 more (w1 .. w7) and the number of shingles
+    in :func:`steps` (size); names that clash get an underscore in front."""
+    names = ["fp", *(f"w{i + 1}" for i in range(_MORE)), "size"]
     own = [fresh(docs, c) for c in names]
 
     def run(batches):
         for b in batches:
-            bits = [wide_bits(texts, shingle) for _, texts in portions(b.column("text"))]
-            numbers = np.concatenate(bits).view("<i8") if bits else np.empty((0, len(names)), dtype=np.int64)
-            yield pa.record_batch([*(b.column(c) for c in keep), *(pa.array(np.ascontiguousarray(numbers[:, i])) for i in range(len(names)))], [*keep, *own])
+            told = [wide_bits(texts, shingle) for _, texts in portions(b.column("text"))]
+            numbers = np.concatenate([bits for bits, _ in told]).view("<i8") if told else np.empty((0, 1 + _MORE), dtype=np.int64)
+            sizes = steps(np.concatenate([np.empty(0, dtype=np.int64), *(n for _, n in told)]))
+            yield pa.record_batch([*(b.column(c) for c in keep), *(pa.array(np.ascontiguousarray(numbers[:, i])) for i in range(1 + _MORE)), pa.array(sizes)], [*keep, *own])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
     schema = T.StructType([f for f in rows.schema if f.name in keep])
     for c in own:
-        schema = schema.add(c, "long")
+        schema = schema.add(c, "short" if c == own[-1] else "long")
     return rows.mapInArrow(run, schema)
 
 
@@ -305,7 +312,7 @@ def differing(similarity: float) -> float:
 
 
 def _word_variants(nodes: DataFrame, looked_up: range) -> DataFrame:
-    """(key, fp, hub): for each of those words of a node all variants of its key bits within one flip;
+    """(key, fp, hub, size): for each of those words of a node all variants of its key bits within one flip;
     hub: in what bits the hub of the node's group differs from it (zero for most, so it takes little room)."""
     flips = np.r_[0, 1 << np.arange(_KEY)].astype(np.uint32)
     own = np.array(looked_up)
@@ -313,14 +320,14 @@ def _word_variants(nodes: DataFrame, looked_up: range) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            fps, hubs = b.column("fp").to_numpy(), b.column("hub").to_numpy()
+            fps, hubs, sizes = (b.column(c).to_numpy() for c in ("fp", "hub", "size"))
             words = np.stack([b.column(f"w{i + 1}").to_numpy() for i in range(_MORE)], axis=1).view("<u4")[:, own]
             for at in range(0, len(fps), 250):
                 part = words[at : at + 250] & np.uint32((1 << _KEY) - 1) | tags
                 keys = (part[:, :, None] ^ flips).reshape(len(part), -1)
-                yield pa.record_batch([pa.array(keys.ravel().view(np.int32)), *(pa.array(np.repeat(c[at : at + 250], keys.shape[1])) for c in (fps, hubs))], ["key", "fp", "hub"])
+                yield pa.record_batch([pa.array(keys.ravel().view(np.int32)), *(pa.array(np.repeat(c[at : at + 250], keys.shape[1])) for c in (fps, hubs, sizes))], ["key", "fp", "hub", "size"])
 
-    return nodes.mapInArrow(run, "key int, fp long, hub long")
+    return nodes.mapInArrow(run, "key int, fp long, hub long, size short")
 
 
 def meetings(keys: np.ndarray, fps: np.ndarray, near: int, leaders: dict[int, np.ndarray]) -> np.ndarray:
@@ -382,28 +389,40 @@ def through_hubs(pairs: np.ndarray, known: np.ndarray, hubs: np.ndarray, near: i
     return np.unique(ends[np.bitwise_count(ends[:, 0] ^ ends[:, 1]) <= near], axis=0)
 
 
-def _met(nodes: DataFrame, looked_up: range, near: int) -> DataFrame:
-    """(a, b): pairs of the nodes (fp, hub, w1 .. w7) of different groups that meet in one of those words."""
+def of_like_size(pairs: np.ndarray, known: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """The pairs whose ends' sizes are at most ``most`` :func:`steps` apart, or not both known. ``sizes``: of the
+    fingerprints ``known`` (ascending)."""
+    at = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
+    told = (known[at] == pairs).all(axis=1) if len(known) else np.zeros(len(pairs), dtype=bool)
+    far = np.abs(np.diff(sizes[at].astype(np.int64), axis=1)[:, 0]) > most if len(known) else told
+    return pairs[~(told & far)]
+
+
+def _met(nodes: DataFrame, looked_up: range, near: int, similarity: float) -> DataFrame:
+    """(a, b): pairs of the nodes (fp, hub, size, w1 .. w7) of different groups that meet in one of those words
+    and are not too unlike in size for the similarity: the smaller has that share of the larger one's shingles."""
+    most = math.floor(64 * math.log2(1 / similarity)) + 1  # of rounded steps
 
     def run(batches):
         held, size, leaders = [], 0, {}
-        seen = np.empty((2, 0), dtype=np.uint64)  # leaders of a bucket that goes on, and their hubs
+        # leaders of a bucket that goes on, their hubs and sizes
+        seen = [np.empty(0, dtype=kind) for kind in (np.uint64, np.uint64, np.int16)]
 
-        def solve(keys, fps, hubs):
+        def solve(keys, fps, hubs, sizes):
             nonlocal seen
             pairs = meetings(keys, fps, near, leaders)
-            if hubs.any() or (seen[0] != seen[1]).any():
-                known, at = np.unique(np.r_[fps, seen[0]], return_index=True)
-                own = np.r_[fps ^ hubs, seen[1]][at]
-                pairs = through_hubs(pairs, known, own, near)
-            else:
-                known = own = np.unique(np.r_[fps, seen[0]]) if leaders else fps[:0]
+            known, at = np.unique(np.r_[fps, seen[0]], return_index=True)
+            hub, length = np.r_[fps ^ hubs, seen[1]][at], np.r_[sizes, seen[2]][at]
+            if (hub != known).any():
+                pairs = through_hubs(pairs, known, hub, near)
+            pairs = of_like_size(pairs, known, length, most)
             led = np.unique(np.concatenate([fps[:0], *leaders.values()]))
-            seen = np.stack([led, own[np.searchsorted(known, led)]])
+            at = np.searchsorted(known, led)
+            seen = [led, hub[at], length[at]]
             return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in range(2)], ["a", "b"])
 
         for b in batches:
-            held.append((b.column("key").to_numpy(), *(b.column(c).to_numpy().view(np.uint64) for c in ("fp", "hub"))))
+            held.append((b.column("key").to_numpy(), *(b.column(c).to_numpy().view(np.uint64) for c in ("fp", "hub")), b.column("size").to_numpy()))
             size += len(b)
             if size < 1 << 17:
                 continue
@@ -435,7 +454,7 @@ def _hubs(linked: DataFrame) -> DataFrame:
 
 
 def similar(nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b): pairs of the nodes (fp, least, digest, w1 .. w7) of that similarity: of those that
+    """(a, b): pairs of the nodes (fp, least, digest, size, w1 .. w7) of that similarity: of those that
     :func:`_word_variants` lets meet, as many as connect them. ``docs``: the texts (doc_id, text) of the nodes, each under
     its ``least`` and with the XXH64 ``digest``; a node without an id has only its bits."""
     share = differing(similarity)
@@ -450,7 +469,7 @@ def similar(nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int)
     for looked_up in _ROUNDS:
         if found is not None:
             placed = nodes.join(_hubs(found), "fp", "left").withColumn("hub", F.coalesce(F.col("fp").bitwiseXOR(F.col("hub")), F.lit(0)))
-        pairs = _met(placed.select("fp", "hub", *words), looked_up, near)
+        pairs = _met(placed.select("fp", "hub", "size", *words), looked_up, near, similarity)
         for side in "ab":
             pairs = pairs.join(sides[side], side)
         pairs = cut(pairs.select("a", "b", apart.alias("apart"), bare.alias("bare")).where(F.col("apart") <= bits * share + error))
@@ -506,9 +525,9 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     are not shuffled, but for a few."""
     words = [f"w{i + 1}" for i in range(_MORE)]
     base = cut(wide_fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")), ["doc_id", "digest"], shingle))
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest")))
-    nodes = base.groupBy("fp").agg(first.alias("first"), F.min(F.struct(*words)).alias("w"))
-    nodes = cut(nodes.select("fp", F.col("first.doc_id").alias("least"), "first.digest", *[F.col(f"w.{w}").alias(w) for w in words]))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest", "size")))
+    nodes = base.groupBy("fp").agg(first.alias("first"), F.min(F.struct(*words, "size")).alias("w"))
+    nodes = cut(nodes.select("fp", F.col("first.doc_id").alias("least"), "first.digest", F.coalesce("first.size", "w.size").alias("size"), *[F.col(f"w.{w}").alias(w) for w in words]))
     classes = cut(_classes(nodes.select("fp", "least"), spanning(similar(nodes, docs, similarity, shingle))))
     again = base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone = base.join(classes, "fp").where("doc_id <> component_id").select("doc_id").union(again)
