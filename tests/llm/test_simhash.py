@@ -224,7 +224,7 @@ def test_copies_of_one_text_meet_it(spark):
 
 
 def test_spanning(spark):
-    from veilspark.llm.common import components, spanning
+    from veilspark.llm.common import components, groups, spanning
 
     rnd = random.Random(3)
     edges = [(rnd.randrange(30) + 100 * g, rnd.randrange(30) + 100 * g) for g in range(4) for _ in range(400)]
@@ -232,4 +232,7 @@ def test_spanning(spark):
     for at_once in (1 << 20, 100):
         some = spanning(df, at_once)
         assert some.count() < (120 if at_once > 1000 else 1600)
-        assert {tuple(r) for r in components(some).collect()} == {tuple(r) for r in components(df).collect()}
+        whole = sorted(tuple(r) for r in components(df).collect())
+        assert sorted(tuple(r) for r in components(some).collect()) == whole
+        assert sorted(tuple(r) for r in groups(df.union(df.selectExpr("a", "a")).unionAll(spark.createDataFrame([(77, 77)], df.schema)), at_once).collect()) == sorted({*whole, *((r, r) for _, r in whole)})
+    assert not groups(df.limit(0)).count()

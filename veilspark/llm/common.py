@@ -150,9 +150,36 @@ def spanning(edges: DataFrame, at_once: int = 1 << 20) -> DataFrame:
     return edges.select("a", "b").coalesce(parts).mapInArrow(run, "a long, b long")
 
 
+def groups(edges: DataFrame, at_once: int = 1 << 20) -> DataFrame:
+    """The rows of :func:`components` and one of each root itself (root, root); up to ``at_once`` edges are solved by one task, that holds no more than their
+    ends. ``edges`` is read twice: pass a table or a checkpoint."""
+    if edges.count() > at_once:
+        parts = cut(components(spanning(edges, at_once)))
+        return parts.union(parts.select("root", "root").distinct())
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+        nodes = [x for x in root if find(x) != x]
+        nodes += {find(x) for x in nodes}
+        yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the graph with the edges (a, b): one row (node, root) for each node
-    that has an edge to another one; root is the component's smallest node.
+    that has an edge to another one, but for the roots; root is the component's smallest node.
 
     Alternating large-star and small-star steps [Kiveris et al., Connected Components in
     MapReduce and Beyond, 2014]. Each step is an aggregate with partial sums and an equi-join, so

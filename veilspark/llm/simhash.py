@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut, fresh, likely, spanning, stored
+from .common import components, cut, fresh, groups, likely, spanning, stored
 from .words import gram_hashes, hashed, multipliers, portions, scramble
 
 BITS = 64
@@ -447,7 +447,7 @@ def _met(nodes: DataFrame, looked_up: range, near: int, similarity: float) -> Da
 def _hubs(linked: DataFrame) -> DataFrame:
     """(fp, hub) of each linked fingerprint: that of its group with most links, of several the smallest."""
     ends = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    named = cut(components(spanning(linked)).join(ends, "node"))
+    named = cut(groups(linked).join(ends, "node"))
     # a table of its own leaves the join free to split a large group
     most = cut(named.groupBy("root").agg(F.min(F.struct(-F.col("n"), "node")).alias("hub")).select("root", "hub.node").withColumnRenamed("node", "hub"))
     return named.join(most, "root").select(F.col("node").alias("fp"), "hub")
