@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from veilspark import queries, vocab
 from veilspark.functions import crypto
-from veilspark.operators import outbound, strategies
+from veilspark.functions.text import matches
+from veilspark.operators import detect, outbound, strategies
 from veilspark.operators.obfuscate import obfuscate
 from veilspark.operators.restore import restore
 from veilspark.plans import audit, process, vault
-from veilspark.schema import Policy, Settings
+from veilspark.schema import STANDARD_RULES, Policy, Settings
 from veilspark.sources import pages, rules, store
 from veilspark.streaming.sessions import obfuscate_stream, requests, session_states
 
@@ -314,3 +315,32 @@ def test_tokens_of_another_document_of_the_session_are_restored(spark):
     replies = spark.createDataFrame([("s", k, "see [SSN_0123456789ab] twice [ssn_0123456789ab]") for k in "defg"], "session_id string, doc_id string, reply string")
     got = {r.doc_id: (r.restored, r.tokens_restored, r.clean) for r in restore(replies, known).collect()}
     assert got == {"d": ("see 2 twice 2", 2, True), **{k: ("see 1 twice 1", 2, True) for k in "efg"}}
+
+
+def test_hints_hide_no_match(spark, monkeypatch):
+    """What a rule finds behind its hint is what it finds without."""
+    import random
+
+    draw, parts = random.Random(7), ["SSN", "Social Security No", "Acct", "Member ID", "Docket #", "PATIENT", "Referring Provider", "Dr", "D.O.B.", "Birth date", "Age", "Gender", "SEX", "MAN", "afr\u0131can american", "\u212aorean", "M\u0130ss", "non-b\u0131nary", "mrn", "DEA No: AB1234567", "NPI 1234567890"]
+    parts += ["123-45-6789", "123456789", "(415) 555-0132", "415.555.0132", "4111 1111 1111 1111", "4111-1111-1111-111", "10.0.255.7", "\u0661\u0662\u0663.\u0664\u0665\u0666.\u0667\u0668\u0669\u0660", "03/15/1985", "2024-1-2", "AU\u017f. 3, 2020", "7 sept 2001", "62", "62-year-old", "9 YEAR\u017f old", "5 y.o.", "5y/o", "123456", "0123", "95112-1234", "CO", "CA", "San Jose", "Denver", ", co", ", \u0131L", "1420 Alder Street", "7 o\u0131d \u017ft", "12 King \u212areek Ct.", "u@x.org", "http://a", "500 mg", "Anna Berger", "J."]
+    joins = [" ", " ", "\u00a0", "\u2003", "\n", ": ", "#", "", ", ", "-"]
+    texts = ["".join(draw.choice(parts) + draw.choice(joins) for _ in range(6)) for _ in range(4000)]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text"))
+    df, text = detect.with_text(rows)
+    finders = {r.id: (lambda t, r=r: detect.rule_spans(t, r)) for r in STANDARD_RULES} | {"zip": detect.zip_spans, "number": detect.number_spans, "pair": detect.pair_spans}
+    kept = {n: f(text) for n, f in finders.items()}
+    monkeypatch.setattr(detect, "_guarded", lambda text, hint, found: found)
+    told = df.select(*[F.struct((kept[n] != f(text)).alias("differs"), F.size(kept[n]).alias("n")).alias(n) for n, f in finders.items()])
+    got = told.agg(*[F.struct(F.sum(F.col(f"{n}.differs").cast("int")).alias("differ"), F.sum(f"{n}.n").alias("n")).alias(n) for n in finders]).first()
+    assert {n: got[n].differ for n in finders} == dict.fromkeys(finders, 0) and all(got[n].n for n in finders)
+
+
+def test_a_pattern_passes_once(spark):
+    plan = spark.range(1).select(matches(F.col("id").cast("string"), "(?<anc>)(?<val>q7)").alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("q7") == 1
+
+
+def test_pads_are_made_once_a_document(spark):
+    docs = spark.createDataFrame([("s", "d", "Account No: 12345678")], "session_id string, doc_id string, text string")
+    plan = obfuscate(docs, crypto.key_table(spark, SHORT)).select("plan")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"unhex\(concat\(doc_inner#", plan) and re.search(r"unhex\(concat\(doc_outer#", plan)
