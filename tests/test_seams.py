@@ -299,6 +299,13 @@ def test_a_token_of_two_documents_is_each_ones_own(spark, colliding_orders, name
     _as_sql(spark, colliding_orders, name)
 
 
+def test_a_first_and_a_second_token_of_two_documents_are_each_ones_own(spark, tmp_path):
+    """The first account of one order and the second one of another share a token, as among the nine million of 1 GB."""
+    rows = [(2591280, 255024), (4525129, 455503)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"file://{tmp_path}/orders.parquet")
+    _as_sql(spark, tmp_path, "process_chunks")
+
+
 def test_a_pseudonym_of_two_documents_is_each_ones_own(spark, colliding_orders):
     _as_sql(spark, colliding_orders, "pseudonym_round_trip")
 
